@@ -23,6 +23,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), _tokenizer()))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing}
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagwright.llm import language, quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (quality.remainder("doc_id", 4) == 2).alias("held_out"))
+    return language.predict(docs, language.learn(docs.where(~F.col("held_out"))), ["doc_id", "held_out"])
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagwright.llm import quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(quality.remainder("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.fit(docs, labels), "score")
+    return scored.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op7_language": op7_language, "op8_quality": op8_quality}
 
 SQL: dict[str, str] = {}
