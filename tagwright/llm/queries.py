@@ -43,6 +43,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (quality.remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_packing": op1_packing, "op7_language": op7_language, "op8_quality": op8_quality}
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagwright.llm import jaccard
+
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op7_language, op8_quality, op9_jaccard_join)}
 
 SQL: dict[str, str] = {}
