@@ -131,7 +131,7 @@ def overlaps(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
 
 
 def _linked(threshold: float):
-    def run(group: pa.Table) -> np.ndarray:
+    def run(group: pa.Table, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sets = [np.frombuffer(x, np.uint64) for x in group.column("shingles").to_pylist()]
         n = np.fromiter(map(len, sets), np.float64, len(sets))
         shared = overlaps(sets)
@@ -141,7 +141,9 @@ def _linked(threshold: float):
             keys = np.stack(group.column("keys").to_pylist())
             for k in range(int(tree)):
                 linked &= keys[:, None, k] != keys[None, :, k]
-        return linked
+        if side.any():
+            linked &= side[:, None] != side[None, :]
+        return np.nonzero(np.triu(linked, 1))
 
     return run
 

@@ -61,6 +61,12 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_decontaminate, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagwright.llm import embeddings
+
+    return embeddings.near(_table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_decontaminate, op6_embeddings, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
 
 SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}

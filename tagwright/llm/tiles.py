@@ -1,4 +1,4 @@
-"""Exact links inside groups of rows, computed tile by tile as matrices and returned in linear size."""
+"""Exact links inside groups of rows, computed tile by tile and returned in linear size."""
 
 from __future__ import annotations
 
@@ -29,24 +29,27 @@ def groups(batches: Iterator[pa.RecordBatch], key: str = "gid") -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def forest(linked: np.ndarray) -> np.ndarray:
-    """The first row of each row's component in a symmetric table of links."""
-    label = np.arange(len(linked))
+def forest(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The first row of each row's component, given the linked pairs."""
+    label = np.arange(m)
     while True:
-        least = np.where(linked, label[None, :], len(label)).min(1)
-        new = np.minimum(label, least)
+        new = label.copy()
+        least = np.minimum(label[i], label[j])
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
         new = np.minimum(new, new[new])
         if (new == label).all():
             return label
         label = new
 
 
-def told(node: np.ndarray, weight: np.ndarray, linked: np.ndarray) -> tuple[list[int], list[int | None], list[int]]:
+def told(node: np.ndarray, weight: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[list, list, list]:
     """Rows of LINKS: how many rows each node is linked to, and edges that join what hangs together."""
-    count = linked @ weight.astype(np.float64)
+    m = len(node)
+    count = np.bincount(i, weight[j], m) + np.bincount(j, weight[i], m)
     some = np.flatnonzero(count)
-    root = forest(linked)
-    hung = np.flatnonzero(root != np.arange(len(root)))
+    root = forest(m, i, j)
+    hung = np.flatnonzero(root != np.arange(m))
     return (
         [*node[some].tolist(), *node[hung].tolist()],
         [*[None] * len(some), *node[root[hung]].tolist()],
@@ -69,11 +72,12 @@ def batched(rows: Iterator[tuple[list, list, list]], most: int = 50_000) -> Iter
     yield flush()
 
 
-def tiled(linked_of: Callable[[pa.Table], np.ndarray]):
+def tiled(pairs_of: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarray]]):
     """A mapInArrow function over rows (gid, side, node, weight, ...) sorted by gid.
 
-    A gid is a whole group (all rows of side 0) or a pair of tiles (sides 0 and 1), in which
-    only pairs across the sides count.
+    A gid is a whole group (all rows of side 0) or a pair of tiles (sides 0 and 1), in which only
+    pairs across the sides count. pairs_of gets the rows, in order of node, and their sides; it
+    returns the linked pairs, each once.
     """
 
     def run(batches):
@@ -82,16 +86,10 @@ def tiled(linked_of: Callable[[pa.Table], np.ndarray]):
                 node, one = np.unique(group.column("node").to_numpy(), return_index=True)
                 if len(node) < 2:
                     continue
-                if len(node) < group.num_rows:
-                    group = group.take(pa.array(one))
-                node = group.column("node").to_numpy()
-                side = group.column("side").to_numpy()
-                linked = linked_of(group)
-                if side.any():
-                    linked &= side[:, None] != side[None, :]
-                np.fill_diagonal(linked, False)
-                if linked.any():
-                    yield told(node, group.column("weight").to_numpy(), linked)
+                group = group.take(pa.array(one)).combine_chunks()
+                i, j = pairs_of(group, group.column("side").to_numpy())
+                if len(i):
+                    yield told(node, group.column("weight").to_numpy(), i, j)
 
         yield from batched(rows())
 
