@@ -73,6 +73,12 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op4_decontaminate, op5_html, op6_embeddings, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tagwright.llm import urls
+
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_urls, op4_decontaminate, op5_html, op6_embeddings, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
 
 SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}
