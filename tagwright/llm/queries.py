@@ -79,6 +79,15 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_urls, op4_decontaminate, op5_html, op6_embeddings, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
+def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tagwright.llm import maxent, quality
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", (quality.remainder("doc_id", 10) == 0).alias("held_out"))
+    return maxent.score(docs, maxent.fit(docs.where(~F.col("held_out"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_urls, op3_maxent, op4_decontaminate, op5_html, op6_embeddings, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
 
 SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}
