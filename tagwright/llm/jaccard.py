@@ -12,8 +12,8 @@ once, and its similarities are computed as matrix products. Groups of more than
 many shingles, are cut into tiles, and every two tiles meet in a task of their own; what leaves a
 task is the number of links of each node and a spanning forest, never the pairs.
 
-Cases: null and empty texts, or those without words, have no shingle and link with nothing;
-repeated rows are copies of each other; an empty table gives no row; other columns are ignored.
+Cases: null and empty texts, or those without words, have no shingle and link with nothing, and
+neither do rows without a doc_id, whose class is null; repeated rows are copies of each other; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -152,7 +152,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     """For each row of ``docs(doc_id, text)``: doc_id, class_id (the smallest doc_id it hangs together with) and n_links (other rows of that similarity)."""
     depth = prefix_length(threshold, trees, depth, recall)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = materialise(rows.mapInArrow(_sign(trees, depth, words), "doc_id long, node long, n long, keys array<long>"), "signed")
+    signed = rows.mapInArrow(_sign(trees, depth, words), "doc_id long, node long, n long, keys array<long>")
+    signed = materialise(signed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signed")
     nodes = materialise(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
 
     met = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
@@ -193,3 +194,15 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     about = materialise(told.join(classes, "component").select("node", "class_id", "n_links"), "about")
     out = signed.select("doc_id", "node").join(about, "node", "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """One row of ``docs`` for each class: that with the smallest doc_id. Of rows with equal doc_id and text one stays; rows without a doc_id stay."""
+    about = materialise(join(docs, **options), "classes")
+    gone = materialise(about.where("class_id <> doc_id").select("doc_id").distinct(), "gone")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = materialise(about.where("class_id = doc_id").groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))

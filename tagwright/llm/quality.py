@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tagwright.llm.kernels import buffers
 
@@ -122,20 +123,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int
     return Model(good, bad, *_isotonic(x, y, weight), counts[1] / sum(counts.values()))
 
 
+def _scorer(model: Model):
+    signal = model.sizer()
+
+    def run(column: pa.Array) -> np.ndarray:
+        data, at = buffers(column)
+        view = memoryview(data)
+        found = np.array([signal(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], float)
+        return model.score(found, np.diff(at))
+
+    return run
+
+
 def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 of each whole ``text``."""
+    """``docs`` with a score from 0 to 1 of each whole ``text``, in a column that isn't there yet."""
     if column in docs.columns:
         raise ValueError(f"documents have a column {column} already")
-    from pyspark.sql.types import DoubleType, StructType
 
-    schema = StructType([*docs.schema.fields]).add(column, DoubleType())
+    def run(batches):
+        scores = _scorer(model)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column("text")))], [*batch.schema.names, column])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, "double"))
+
+
+def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``least`` or more, and those without a text."""
 
     def run(batches):
-        signal = model.sizer()
+        scores = _scorer(model)
         for batch in batches:
-            data, at = buffers(batch.column("text"))
-            view = memoryview(data)
-            found = np.array([signal(view[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(found, np.diff(at)))], [*batch.schema.names, column])
+            text = batch.column("text")
+            yield batch.filter(pa.array((scores(text) >= least) | text.is_null().to_numpy(zero_copy_only=False)))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -13,7 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer() -> str:
+def tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
@@ -22,7 +22,7 @@ def _tokenizer() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tagwright.llm import packing
 
-    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), _tokenizer()))
+    return packing.digest(packing.pack(_table(spark, sf_dir, "documents"), tokenizer()))
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

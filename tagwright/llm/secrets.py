@@ -143,17 +143,21 @@ def report(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...
 
 
 def redact(docs: DataFrame, mask: str = "[REDACTED]", ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with every finding in ``text`` replaced by ``mask``; findings that overlap are one. A null text stays null."""
+    """``docs`` with every finding in ``text`` replaced by ``mask``, and ``n_chars``, if there, by the new length.
+
+    Findings that overlap are replaced as one. Texts without a finding, null ones among them, stay as they are.
+    """
     _, blobs = find(docs, ledger, rules)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), address().alias("sha"))
+    text = F.col("row.text")
 
     def step(done: Column, s: Column) -> Column:
-        before = F.concat(done["out"], F.substring(F.col("text"), done["at"].cast("int") + 1, (s["start"] - done["at"]).cast("int")), F.lit(mask))
-        out = F.when(s["start"] >= done["at"], before).otherwise(done["out"])
-        return F.struct(out.alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
-
-    cut = F.aggregate("_found", start, step)
-    marked = docs.withColumn("_sha", address()).join(blobs.select(F.col("sha").alias("_sha"), F.col("found").alias("_found")), "_sha", "left")
-    marked = marked.withColumn("_cut", F.when(F.col("_found").isNotNull(), cut))
-    text = F.when(F.col("_found").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat(F.col("_cut.out"), F.expr("substring(text, cast(_cut.at as int) + 1)")))
-    return marked.withColumn("text", text).select(*docs.columns)
+        more = F.concat(done["out"], F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.lit(mask))
+        return F.struct(F.when(s["start"] >= done["at"], more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], s["end"]).alias("at"))
+
+    spans = F.transform("found", lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end")))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    cut = F.aggregate(spans, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
+    joined = rows.join(blobs, "sha", "left").select("row", F.when(F.col("found").isNotNull() & text.isNotNull(), cut).alias("cut"))
+    new = {"text": F.coalesce("cut", text), "n_chars": F.when(F.col("cut").isNull(), F.col("row.n_chars")).otherwise(F.length("cut")).cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {"text": F.coalesce("cut", text)}
+    return joined.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
