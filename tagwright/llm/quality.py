@@ -103,13 +103,14 @@ def _dictionary(texts: list[bytes], block: int, size: int) -> bytes:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int = MAX_CHARS) -> Model:
     """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, quality)``: rows of the smallest hashes, ``sample`` for each class and purpose."""
     marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
     order = F.xxhash64("doc_id")
-    rows: dict[tuple[int, int], list[bytes]] = {}
-    known = texts.join(marked, "doc_id")
-    for label in (0, 1):
-        got = known.where(F.col("quality") == label).orderBy(order, "doc_id").limit(2 * sample).select("text").collect()
-        rows[label, 0], rows[label, 1] = ([r["text"].encode() for r in got[k::2]] for k in (0, 1))
+    ids = [marked.where(F.col("quality") == k).orderBy(order, "doc_id").limit(2 * sample) for k in (0, 1)]
+    some = F.broadcast(ids[0].unionByName(ids[1]))  # 4 * sample rows at most
+    texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
+    found: list[list[bytes]] = [[], []]
+    for r in sorted(texts.join(some, "doc_id").select("quality", order.alias("h"), "doc_id", "text").collect(), key=lambda r: (r["h"], r["doc_id"], r["text"])):
+        found[r["quality"]].append(r["text"].encode())
+    rows = {(k, part): found[k][part::2] for k in (0, 1) for part in (0, 1)}
     good, bad = (_dictionary(rows[k, 0], BLOCK, DICTIONARY) for k in (1, 0))
     # each class counts as often as it is labelled, whatever the sample holds of it
     counts = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
