@@ -1,0 +1 @@
+"""Streaming: batch queries only for now; nothing that the engine answers arrives as a stream."""
