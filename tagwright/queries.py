@@ -23,17 +23,17 @@ post_tags AS (
     UNION ALL SELECT id, lower(p_type) FROM lp
     UNION ALL SELECT o_orderkey, lower(replace(o_orderpriority, ' ', '-')) FROM orders)),
 sums AS (
-  SELECT l_orderkey AS k, max(l_shipdate) AS shipped, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS BIGINT) AS score,
-         count(*) AS answer_count, min(CASE WHEN l_returnflag = 'A' THEN l_partkey END) AS accepted_answer_id
+  SELECT l_orderkey AS k, max(l_shipdate) AS shipped, CAST(sum(CASE WHEN l_returnflag = 'R' THEN -l_quantity ELSE l_quantity END) AS INTEGER) AS score,
+         CAST(count(*) AS INTEGER) AS answer_count, CAST(min(CASE WHEN l_returnflag = 'A' THEN l_partkey END) AS INTEGER) AS accepted_answer_id
   FROM lineitem GROUP BY l_orderkey),
 posts AS (
   SELECT o_orderkey AS id, 'Order ' || o_orderkey AS title, o_orderdate AS creation_date, coalesce(shipped, o_orderdate) AS last_activity_date,
-         score, CAST(floor(o_totalprice) AS BIGINT) AS view_count, answer_count, accepted_answer_id
+         score, CAST(floor(o_totalprice) AS INTEGER) AS view_count, answer_count, accepted_answer_id
   FROM orders LEFT JOIN sums ON o_orderkey = k),
 listed AS (SELECT id, string_agg(tag, ',' ORDER BY tag) AS tags FROM post_tags GROUP BY id),
 tag_counts AS (SELECT tag, count(*) AS n FROM post_tags GROUP BY tag)
 """
-KEYS = {Sort.LAST_ACTIVITY: "last_activity_date", Sort.CREATION: "creation_date", Sort.SCORE: "coalesce(score, -1)", Sort.VIEWS: "coalesce(view_count, -1)", Sort.ANSWERS: "coalesce(answer_count, -1)"}
+KEYS = {Sort.LAST_ACTIVITY: "last_activity_date", Sort.CREATION: "creation_date", Sort.SCORE: "CAST(coalesce(score, -1) AS BIGINT)", Sort.VIEWS: "CAST(coalesce(view_count, -1) AS BIGINT)", Sort.ANSWERS: "CAST(coalesce(answer_count, -1) AS BIGINT)"}
 EXCLUDED = ("brand#2", "hot", "4-not-specified")
 PATTERNS = ("brand#1*", "*1", "*#2*", "*e*", "s*l", "nosuch*", "red", "nosuch")
 
@@ -79,7 +79,7 @@ def _register_pages() -> None:
     past = TagQuery("red", Sort.SCORE, 25, 10_000_000)
     register("tag_page_past_end", lambda e: paging.tag_page(e, past), page_sql(past.sort, tag_in("red"), 10_000_000, 25))
     register("page_fetch", lambda e: paging.fetch(e, paging.tag_page(e, TagQuery("hot", Sort.SCORE, 50))).select("pos", "id", "title", "score", "view_count", "answer_count"), f"SELECT pos, id, title, score, view_count, answer_count FROM ({page_sql(Sort.SCORE, tag_in('hot'), 0, 50)}) JOIN posts USING (id)")
-    register("top100_views", paging.top_views, "SELECT row_number() OVER (ORDER BY view_count DESC NULLS LAST, id DESC) AS pos, id, view_count FROM posts ORDER BY pos LIMIT 100")
+    register("top100_views", paging.top_views, "SELECT row_number() OVER (ORDER BY view_count DESC NULLS LAST, id DESC) AS pos, id, CAST(view_count AS BIGINT) AS view_count FROM posts ORDER BY pos LIMIT 100")
     register("point_lookup", lambda e: paging.lookup(e, 77).select("id", "title", "view_count"), "SELECT id, title, view_count FROM posts WHERE id = 77")
     register("tag_sample", lambda e: paging.sample(e.tag_counts, [F.desc("n"), F.col("tag")], 10), "SELECT tag, n FROM (SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS r, count(*) OVER () AS c FROM tag_counts) WHERE (r - 1) % greatest(1, c // 10) = 0 ORDER BY r LIMIT 10")
     register("global_rank", lambda e: paging.ranked(e.posts, C.order(Sort.SCORE)).select("id", "rank"), "SELECT id, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id DESC) AS rank FROM posts")
