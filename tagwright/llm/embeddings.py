@@ -115,11 +115,12 @@ def _cells(pivots: dict[int, np.ndarray], threshold: float):
             dims = batch.column("dim").to_numpy()
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
+                own = pivots.get(d, np.ones((1, d)))  # a rare length has one cell
                 for lo in range(0, len(at), 2048):
                     rows = pa.array(at[lo : lo + 2048])
-                    angle = _angles(unit(_matrix(batch.column("v").take(rows))), pivots[d])
+                    angle = _angles(unit(_matrix(batch.column("v").take(rows))), own)
                     home = angle.argmin(1)
-                    guest = (angle <= angle.min(1, keepdims=True) + wide) & (np.arange(len(pivots[d]))[None, :] < home[:, None])
+                    guest = (angle <= angle.min(1, keepdims=True) + wide) & (np.arange(len(own))[None, :] < home[:, None])
                     x, cell = np.nonzero(guest)
                     node = batch.column("node").take(rows).to_numpy()
                     n = len(node) + len(x)
@@ -154,8 +155,6 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sam
     copies = signed.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v"))
     nodes = materialise(copies.withColumn("dim", F.size("v").cast("long")), "nodes")
     counts = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
-    if len(counts) == 64:
-        raise ValueError("vectors of more than 63 lengths")
     pivots = {}
     for dim, n in counts.items():
         some = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("v").collect()
