@@ -39,7 +39,7 @@ TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr caption f
 MAIN = frozenset(("article", "main"))
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]), "option": frozenset(["option", "optgroup"])}
 #: Words in class, id or role that name what isn't main text.
-SIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|gdpr|masthead|menu|navbar|navigation|nav|newsletter|notices?|popup|promo\w*|related|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+SIDE = re.compile(r"(?:^|[\s_-])(?:ads?\d*|advert\w*|alerts?|banner|breadcrumbs?|comment\w*|consent|cookies?|disqus|footer|gdpr|(?:site|page|main|global|top)[_-]?header|masthead|menu|navbar|navigation|nav|newsletter|notices?|popup|promo\w*|related|share|sharing|side-?bar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])|^header$", re.I)
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)

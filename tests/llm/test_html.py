@@ -15,6 +15,7 @@ def text(page, deleted=()):
         ("<body><nav>menu</nav><article><h1>A&eacute;</h1><p><b>one\n two<br><p>three&nbsp;four</p></article><footer>f</footer>", "Aé\none two\nthree four"),
         ("<article><p>a</p><script>var t='</p>';</script><style>p{}</style><form>x</form><p>b &lt;i&gt;</p></article> after", "a\nb <i>"),
         ("<body><div class='cookie-notice'>no</div><div class=ad>no</div><div id=comments><p>no</p></div><p>yes</p></body>", "yes"),
+        ("<body><div class='site-header'>no</div><div id='header'>no</div><div class='left side-bar'>no</div><section id='reader-comments'>no</section><div class='adored'>yes</div></body>", "yes"),
         ("<main><aside>no</aside><section><p>1<p>2</section><!-- no --><ul><li>x<li>y</ul></main>", "1\n2\nx\ny"),
         ("<p>1 < 2 <b>bold", "1 < 2 bold"),
         ("<p title='a>b'>x<p title=\"unclosed>y", "x\ny"),
