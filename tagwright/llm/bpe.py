@@ -120,7 +120,7 @@ class Encoder:
         upto = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(starts, ends)]
         return ids, np.diff(upto, prepend=0)
 
-    def encode(self, texts: list[str], most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
         """ids of all texts in a row, and how many each has."""
         ids, counts, lo = [], [], 0
         odd = [bool("'" in t and CONTRACTION.search(t)) for t in texts]

@@ -25,14 +25,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagwright.llm.bpe import encoder
-from tagwright.llm.kernels import slices
-from tagwright.llm.storage import materialise, release
+from tagwright.llm.kernels import buffers, slices
+from tagwright.llm.storage import materialise, release, small_batches
 
 LENGTH = 1024
 WINDOW = 64 * LENGTH
 #: A mixture has so many queues at most; with more sources than that, sources share queues by hash.
 MAX_QUEUES = 2048
 
+#: Distinct pieces of text whose ids a Python worker remembers.
+SLOTS = 1 << 19
+
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, window_id long, ids binary"
 
 
@@ -99,11 +102,11 @@ class Schedule:
 
 def _tokenise(path: str):
     def run(batches):
-        work, sent, pid = encoder(path), defaultdict(int), TaskContext.get().partitionId()
+        work, sent, pid = encoder(path, SLOTS), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
-            texts, queues = [t or "" for t in batch.column("text").to_pylist()], batch.column("source").to_pylist()
-            for lo, hi in slices(np.cumsum([0, *map(len, texts)])):
-                ids, counts = work.encode(texts[lo:hi])
+            column, queues = batch.column("text"), batch.column("source").to_pylist()
+            for lo, hi in slices(buffers(column)[1], 1 << 19):
+                ids, counts = work.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
                 n = counts + 1
                 flat = np.zeros(len(ids) + hi - lo, np.int32)
                 flat[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), counts)] = ids
@@ -150,6 +153,7 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
     broadcast only where its size on disk allows, each partition's start in its queues.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     source = F.coalesce(F.col("source"), F.lit(""))
     many = docs.select(source.alias("s")).distinct().count() > max_queues
     if many and weights:

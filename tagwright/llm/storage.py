@@ -32,6 +32,13 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return back
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Let no more than so many rows go to a Python worker at once, from now on in this session: rows here are whole documents, and the default of 10,000 holds tens of megabytes in each worker and beside it in the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def release(df: DataFrame) -> None:
     """Delete a materialised table that nothing lazy reads any more."""
     spark = df.sparkSession
