@@ -9,6 +9,8 @@ apart, go through the ``tokenizers`` library whole. The tests hold both ways aga
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import unicodedata
 
@@ -59,17 +61,29 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self._tokenizer = path, None
         raw = _raw_bytes()
-        ranks = {bytes(raw[c] for c in word): i for word, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if raw.keys() >= set(word)}
+        with open(path, encoding="utf-8") as f:
+            words = json.load(f)["model"]["vocab"]
+        ranks = {bytes(raw[c] for c in word): i for word, i in words.items() if raw.keys() >= set(word)}
         self.pieces = tiktoken.Encoding("pieces", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
         self.classes, self.slots = _classes(), slots
         self.forget()
 
+    @property
+    def tokenizer(self):
+        """The library's tokenizer, loaded when a text first needs it."""
+        if self._tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self._tokenizer = Tokenizer.from_file(self.path)
+            self._tokenizer.encode_special_tokens = True
+        return self._tokenizer
+
     def forget(self) -> None:
         self.keys, self.entry = np.zeros(self.slots, np.uint64), np.zeros(self.slots, np.int32)
         self.at, self.size, self.n = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), 0
@@ -140,6 +154,12 @@ class Encoder:
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks and would hold it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 

@@ -25,7 +25,7 @@ LOWER[65:91] += 32
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
-        size = 1 << max(20, (n - 1).bit_length())
+        size = 1 << max(16, (n - 1).bit_length())
         for k, b in enumerate((_BASE, _INVERSE)):
             run = np.full(size, b, np.uint64)
             run[0] = 1

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwright.llm.bpe import encoder
+from tagwright.llm.bpe import encoder, trim
 from tagwright.llm.kernels import buffers, slices
 from tagwright.llm.storage import materialise, release, small_batches
 
@@ -34,7 +34,7 @@ WINDOW = 64 * LENGTH
 MAX_QUEUES = 2048
 
 #: Distinct pieces of text whose ids a Python worker remembers.
-SLOTS = 1 << 19
+SLOTS = 1 << 18
 
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, window_id long, ids binary"
 
@@ -117,6 +117,7 @@ def _tokenise(path: str):
                 ends = np.concatenate([[0], np.cumsum(n)]) * 4
                 ids = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, pid, np.int64)), batch.column("doc_id").slice(lo, hi - lo), pa.array(queues[lo:hi], pa.string()), pa.array(n), pa.array(ats, pa.int64()), ids], ["pid", "doc_id", "source", "n", "at", "ids"])
+            trim()
 
     return run
 
