@@ -2,15 +2,16 @@
 
 A page is read as a tree of elements. Every element that holds no running text of the main
 part (outside article and main: all but the body; inside them: containers such as div, aside
-or ul) is hashed with all it contains. Hashes are counted per host, once a page, and an
-element that recurs on many pages of its host is template: it is deleted, unless it is most of its
-page's text. What pages have by their kind alone (scripts, navigation, forms, adverts, comments by
+or ul) is hashed with all it contains. Hashes are counted per host, once for each distinct main text,
+and an element that recurs with PAGES of them is template, however large the host: it is deleted, unless
+it is most of its page's text. Copies of a page tell nothing about what is template, but for a box, a div
+in an article with no element in it: it is counted once a row. What pages have by their kind alone (scripts, navigation, forms, adverts, comments by
 readers) is left out as well. The rest of the article, or of the body where there is none,
 is cut into blocks: white space inside one becomes one space, and blocks are joined by a newline.
 
 Cases: null and empty pages give an empty text, and so do pages without text; a null url's host
 is ""; broken markup is read as far as it goes: unclosed elements end with their parents, a
-bare "<" is text; repeated pages count as pages of their own; an empty table gives no row; other
+bare "<" is text; repeated pages have a row each; an empty table gives no row; other
 columns are ignored.
 """
 
@@ -26,9 +27,8 @@ from pyspark.sql import functions as F
 
 from tagwright.llm.storage import materialise
 
-#: An element is template if this many pages of its host have it, and this share of the host's pages.
+#: An element is template if this many pages of its host have it, counted by their main texts.
 PAGES = 5
-SHARE = 0.01
 
 #: Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -117,12 +117,11 @@ def _words(element: Element) -> int:
 
 
 def fingerprint(html: str, element: Element) -> int:
-    source = " ".join(html[element.start : element.end].split())
-    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+    return _digest(" ".join(html[element.start : element.end].split()))
 
 
 def candidates(html: str, root: Element):
-    """(element, hash) of each element that may be template."""
+    """(element, hash, whether it is a box) of each element that may be template."""
     most = 0.5 * _words(root)
     todo = [(root, False)]
     while todo:
@@ -135,7 +134,7 @@ def candidates(html: str, root: Element):
             if c.tag in ("html", "body", "head", "br") or c.main or c.has_main or (inside and c.tag in TEXT) or not c.children:
                 continue
             if c.side or _words(c) <= most:
-                yield c, fingerprint(html, c)
+                yield c, fingerprint(html, c), inside and c.tag == "div" and all(isinstance(x, str) for x in c.children)
 
 
 def blocks(root: Element, deleted: frozenset[int] | set[int]) -> list[str]:
@@ -183,12 +182,23 @@ def host(url: str = "url") -> Column:
     return F.when(F.contains(F.col(url), F.lit("://")), lower).otherwise(F.lit(""))
 
 
+def _digest(source: str) -> int:
+    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
+
+
 def _hashes(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            found = [sorted({h for _, h in candidates(x or "", parse(x or ""))}) for x in part.column("html").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("host"), pa.array(found, pa.list_(pa.int64()))], ["page_id", "host", "hashes"])
+            main, found, boxes = [], [], []
+            for html in part.column("html").to_pylist():
+                root = parse(html or "")
+                some = [(h, box) for _, h, box in candidates(html or "", root)]
+                main.append(_digest("\n".join(blocks(root, frozenset()))))
+                found.append(sorted({h for h, _ in some}))
+                boxes.append(sorted({h for h, box in some if box}))
+            hashes = (pa.array(x, pa.list_(pa.int64())) for x in (found, boxes))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("host"), pa.array(main, pa.int64()), *hashes], ["page_id", "host", "main", "hashes", "boxes"])
 
 
 def _extract(batches):
@@ -199,19 +209,23 @@ def _extract(batches):
             for html, known in zip(part.column("html").to_pylist(), part.column("template").to_pylist(), strict=True):
                 root = parse(html or "")
                 known = set(known or ())
-                gone = {id(e) for e, h in candidates(html or "", root) if h in known} if known else set()
+                gone = {id(e) for e, h, _ in candidates(html or "", root) if h in known} if known else set()
                 texts.append("\n".join(blocks(root, gone)))
             sizes = pa.array([len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, least: int = PAGES, share: float = SHARE) -> DataFrame:
+def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html)``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
-    seen = materialise(rows.select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, hashes array<long>"), "subtrees")
-    sizes = seen.groupBy("host").agg(F.count("*").alias("pages"))
-    counts = seen.select("host", F.explode("hashes").alias("h")).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    template = materialise(counts.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).select("host", "h"), "template")
-    own = seen.select("page_id", "host", F.explode("hashes").alias("h")).join(template, ["host", "h"])
+    seen = materialise(rows.select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, main long, hashes array<long>, boxes array<long>"), "subtrees")
+    each = seen.select("page_id", "host", "main", "boxes", F.explode("hashes").alias("h"))
+    # main texts set one of 64 bits: so many bits are so many texts at least, and only where they are too few are texts compared
+    bit, box = F.expr("shiftleft(1L, cast(pmod(main, 64) as int))"), F.array_contains("boxes", F.col("h")).cast("int")
+    counts = each.groupBy("host", "h").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(bit)).alias("bits"), F.sum(box).alias("boxes")).where(F.col("n") >= least)
+    counts = materialise(counts.select("host", "h", ((F.col("bits") >= least) | (F.col("boxes") >= least)).alias("sure")), "counts")
+    mains = each.join(counts.where("not sure").select("host", "h"), ["host", "h"]).select("host", "h", "main").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    template = materialise(counts.where("sure").select("host", "h").unionByName(mains.where(F.col("n") >= least).select("host", "h")), "template")
+    own = each.select("page_id", "host", "h").join(template, ["host", "h"])
     deleted = materialise(own.groupBy("page_id").agg(F.collect_set("h").alias("template")), "deleted")  # a page's own elements at most
     return rows.join(deleted, "page_id", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -45,5 +45,27 @@ def test_articles_that_recur_stay(spark):
     assert len(got) == 9 and {r.text for r in got} == {"T\nThe same text on each page."}
 
 
+def test_copies_of_a_page_lose_nothing(spark):
+    listed = "<article><h1>T</h1><p>Some words of the first of all paragraphs here.</p><ul><li>one</ul><table><tr><td>cell</table><section><p>part</section><div><p>in a div</div></article>"
+    plain = "<body><h1>Head</h1><p>one two</p><p>three four</p><p>five six</p></body>"
+    rows = [(k, "http://a.example/", listed) for k in range(9)] + [(k, "http://b.example/", plain) for k in range(10, 19)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got if r.page_id < 10} == {"T\nSome words of the first of all paragraphs here.\none\ncell\npart\nin a div"}
+    assert {r.text for r in got if r.page_id >= 10} == {"Head\none two\nthree four\nfive six"}
+
+
+def test_five_main_texts_are_enough(spark):
+    rows = [(10 * h + k, f"http://{h}.example/{k}", f"<body><div>Box of few pages</div><p>Body {h} {k} of the page, longer than what is around it.</p></body>") for h in range(60) for k in range(5 if h % 2 else 4)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all(r.text.startswith("Body") == bool(int(r.url.split("/")[2].split(".")[0]) % 2) for r in got)
+
+
+def test_the_bar_is_the_same_on_large_hosts(spark):
+    page = "<body>{1}<p>Body {0} of the page, longer than what is around it.</p></body>"
+    rows = [(k, "http://a.example/", page.format(k, "<div>Box of six pages</div>" if k < 6 else "")) for k in range(700)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 700 and all(r.text == f"Body {r.page_id} of the page, longer than what is around it." for r in got)
+
+
 def test_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
