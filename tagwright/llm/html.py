@@ -56,6 +56,9 @@ def parse(html: str) -> Element:
     """The page's elements; a child is an element or a piece of text, with references still in it."""
     root = Element("html", 0, False, False)
     stack, at, n = [root], 0, len(html)
+    opened: dict[str, list[int]] = {}  # places in the stack, by tag; of blocks; of article and main
+    block_at: list[int] = []
+    main_at: list[int] = []
 
     def text(a: int, b: int) -> None:
         if b > a:
@@ -63,7 +66,13 @@ def parse(html: str) -> Element:
 
     def close(k: int, end: int) -> None:
         while len(stack) > k:
-            stack.pop().end = end
+            element = stack.pop()
+            element.end = end
+            opened[element.tag].pop()
+            if element.tag in BLOCK:
+                block_at.pop()
+            if element.tag in MAIN:
+                main_at.pop()
 
     for m in iter(lambda: TOKEN.search(html, at), None):
         text(at, m.start())
@@ -76,29 +85,23 @@ def parse(html: str) -> Element:
             continue
         tag, attributes = tag.lower(), m[3] if m[2] else m[6]
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k, at)
-                    break
-                if stack[k].tag in MAIN and tag not in ("body", "html"):
-                    break  # a stray end tag doesn't end the article
+            # a stray end tag doesn't end the article
+            if opened.get(tag) and (tag in ("body", "html") or not main_at or main_at[-1] <= opened[tag][-1]):
+                close(opened[tag][-1], at)
             continue
-        if tag in ("html", "body") and any(e.tag == tag for e in stack[1:]):
+        if tag in ("html", "body") and opened.get(tag):
             continue
-        for k in range(len(stack) - 1, 0, -1):  # what a start tag ends by itself
-            open_ = stack[k].tag
-            if open_ in CLOSES and tag in CLOSES[open_]:
-                close(k, m.start())
-                break
-            if open_ in BLOCK:
-                break
+        if block_at and tag in CLOSES.get(stack[block_at[-1]].tag, ()):  # what a start tag ends by itself
+            close(block_at[-1], m.start())
         if tag == "body":  # a head without an end
             close(1, m.start())
         names = " ".join(a or b or c for a, b, c in NAMED.findall(attributes)) if "=" in attributes else ""
         element = Element(tag, m.start(), tag in LEFT_OUT or bool(names and tag not in MAIN and tag != "body" and SIDE.search(names)), tag in MAIN or names == "main")
         stack[-1].children.append(element)
         if element.main:
-            for e in stack:
+            for e in reversed(stack):
+                if e.has_main:
+                    break
                 e.has_main = True
         if tag in VOID or attributes.endswith("/"):
             element.end = at
@@ -106,35 +109,49 @@ def parse(html: str) -> Element:
             end = re.compile(rf"</{tag}\s*+[^>]*+>", re.I).search(html, at)
             element.end = at = end.end() if end else n
         else:
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BLOCK:
+                block_at.append(len(stack))
+            if tag in MAIN:
+                main_at.append(len(stack))
             stack.append(element)
     text(at, n)
-    close(0, n)
+    close(1, n)
+    root.end = n
     return root
 
 
-def _words(element: Element) -> int:
-    return sum(len(c.split()) if isinstance(c, str) else _words(c) for c in element.children)
+def _digest(source: str) -> int:
+    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
-def fingerprint(html: str, element: Element) -> int:
-    return _digest(" ".join(html[element.start : element.end].split()))
+def fingerprint(html: str, element: Element, inner: dict[int, int]) -> int:
+    """A hash of the element's source, with the hashes of the elements in it, by id(), for theirs."""
+    parts, at = [], element.start
+    for c in element.children:
+        if not isinstance(c, str):
+            parts += " ".join(html[at : c.start].split()), f"\x00{inner[id(c)]}\x00"
+            at = c.end
+    return _digest("".join([*parts, " ".join(html[at : element.end].split())]))
 
 
 def candidates(html: str, root: Element):
     """(element, hash, whether it is a box) of each element that may be template."""
-    most = 0.5 * _words(root)
-    todo = [(root, False)]
-    while todo:
-        element, inside = todo.pop()
+    order = [(root, False)]
+    for element, inside in order:  # grows while it is read: parents before their children
+        order += [(c, inside or c.main) for c in element.children if not isinstance(c, str)]
+    words: dict[int, int] = {}
+    hashes: dict[int, int] = {}
+    for element, _ in reversed(order):
+        words[id(element)] = sum(len(c.split()) if isinstance(c, str) else words[id(c)] for c in element.children)
+        hashes[id(element)] = fingerprint(html, element, hashes)
+    most = 0.5 * words[id(root)]
+    for element, inside in order:
         for c in element.children:
-            if isinstance(c, str):
+            if isinstance(c, str) or c.tag in ("html", "body", "head", "br") or c.main or c.has_main or (inside and c.tag in TEXT) or not c.children:
                 continue
-            within = inside or c.main
-            todo.append((c, within))
-            if c.tag in ("html", "body", "head", "br") or c.main or c.has_main or (inside and c.tag in TEXT) or not c.children:
-                continue
-            if c.side or _words(c) <= most:
-                yield c, fingerprint(html, c), inside and c.tag == "div" and all(isinstance(x, str) for x in c.children)
+            if c.side or words[id(c)] <= most:
+                yield c, hashes[id(c)], inside and c.tag == "div" and all(isinstance(x, str) for x in c.children)
 
 
 def blocks(root: Element, deleted: frozenset[int] | set[int]) -> list[str]:
@@ -149,8 +166,10 @@ def blocks(root: Element, deleted: frozenset[int] | set[int]) -> list[str]:
             if found:
                 out.append(found)
 
-    def walk(element: Element, inside: bool) -> None:
-        for c in element.children:
+    todo = [(iter(root.children), not root.has_main, False)]  # what is left of each open element, and whether it is a block
+    while todo:
+        children, inside, block = todo[-1]
+        for c in children:
             if isinstance(c, str):
                 if inside:
                     line.append(c)
@@ -162,14 +181,14 @@ def blocks(root: Element, deleted: frozenset[int] | set[int]) -> list[str]:
             elif c.tag == "br":
                 line.append(" ")
             else:
-                within = inside or c.main or not root.has_main
-                if c.tag in BLOCK:
-                    flush()
-                walk(c, within)
                 if c.tag in BLOCK:
                     flush()
-
-    walk(root, not root.has_main)
+                todo.append((iter(c.children), inside or c.main or not root.has_main, c.tag in BLOCK))
+                break
+        else:
+            todo.pop()
+            if block:
+                flush()
     flush()
     return out
 
@@ -182,10 +201,6 @@ def host(url: str = "url") -> Column:
     return F.when(F.contains(F.col(url), F.lit("://")), lower).otherwise(F.lit(""))
 
 
-def _digest(source: str) -> int:
-    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
-
-
 def _hashes(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):

@@ -67,5 +67,12 @@ def test_the_bar_is_the_same_on_large_hosts(spark):
     assert len(got) == 700 and all(r.text == f"Body {r.page_id} of the page, longer than what is around it." for r in got)
 
 
+@pytest.mark.parametrize("tag", ["font", "div", "main", "span class=ad", "ul"])
+def test_deep_nesting(spark, tag):
+    deep = "<p>first</p>" + f"<{tag}>" * 100_000 + "deep" + "</i></b>" * 1000
+    got = html.extract(spark.createDataFrame([(1, "http://a.example/", deep)], "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [{"font": "first\ndeep", "div": "first\ndeep", "main": "deep", "span class=ad": "first", "ul": "first\ndeep"}[tag]]
+
+
 def test_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
