@@ -3,10 +3,15 @@
 Trust starts at hosts in proportion to the share of their pages that a rule allows, and follows links;
 distrust starts at the share that a rule blocks, and follows links backwards, from a blocked host
 to those that link to it. Both are personalised PageRanks over host edges: a host passes on
-DAMPING of what it has, over its links by their number, and restarts make up the rest. A host whose
-distrust reaches LEAST and exceeds its trust by RATIO is blocked where no rule decides.
+DAMPING of what it has, over its links by their number, and restarts make up the rest.
 
-DataFrame functions only. A round is one join with the edges and one sum for both scores; ranks are
+Both sums depend on how many link to a host or share what it passes back, so verdicts don't compare them.
+They compare shares of 0 to 1: trust as a share of what the host would have if all hosts were trusted seeds, and
+blame, which a host has by its own pages and its own links alone, each link counting the blame of the host it goes to, as
+a share of what it would be if all hosts were blocked. A host whose share of blame reaches LEAST and exceeds
+its share of trust by RATIO is blocked where no rule decides.
+
+DataFrame functions only. A round is one join with the edges and one sum for all scores; ranks are
 written to the shared folder. Cases: a url that is null or has no "://" has an empty host and
 path, fits no rule and is allowed; hosts without links or seeds are allowed; links of a
 host to itself don't count; null html has no links; repeated pages count each time they
@@ -27,6 +32,7 @@ ROUNDS = 30
 #: Rounds between two looks at the largest change, and the change at which to stop.
 STEP = 5
 TOLERANCE = 1e-4
+#: The least share of blame of a blocked host.
 LEAST = 0.05
 RATIO = 2.0
 
@@ -60,21 +66,29 @@ def edges(pages: DataFrame) -> DataFrame:
     return both.where("target <> '' and source <> target").groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
+#: Scores, the factor of a link for each, and the seed: t along links, d against them by what the target shares out, b by the source's own links.
+SCORES = (("trust", "t", "trust"), ("distrust", "d", "distrust"), ("all_trust", "t", None), ("blame", "b", "distrust"), ("all_blame", "b", None))
+
+
 def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, trust, distrust) from ``seeds(host, trust, distrust)`` and ``links(source, target, n)``."""
-    ahead = links.join(links.groupBy("source").agg(F.sum("n").alias("all")), "source").select(F.col("source").alias("host"), F.col("target").alias("to"), (F.col("n") / F.col("all")).alias("t"), F.lit(0.0).alias("d"))
-    back = links.join(links.groupBy("target").agg(F.sum("n").alias("all")), "target").select(F.col("target").alias("host"), F.col("source").alias("to"), F.lit(0.0).alias("t"), (F.col("n") / F.col("all")).alias("d"))
+    """(host, trust, distrust, all_trust, blame, all_blame) from ``seeds(host, trust, distrust)`` and ``links(source, target, n)``."""
+    given = links.join(links.groupBy("source").agg(F.sum("n").alias("out")), "source").join(links.groupBy("target").agg(F.sum("n").alias("in")), "target")
+    none = F.lit(0.0)
+    ahead = given.select(F.col("source").alias("host"), F.col("target").alias("to"), (F.col("n") / F.col("out")).alias("t"), none.alias("d"), none.alias("b"))
+    back = given.select(F.col("target").alias("host"), F.col("source").alias("to"), none.alias("t"), (F.col("n") / F.col("in")).alias("d"), (F.col("n") / F.col("out")).alias("b"))
     ways = materialise(ahead.unionByName(back), "ways")
     hosts = seeds.select("host").unionByName(ways.select("host")).distinct()
-    base = materialise(hosts.join(seeds, "host", "left").select("host", *(((1 - damping) * F.coalesce(c, F.lit(0.0))).alias(f"s_{c}") for c in ("trust", "distrust"))), "seeds")
-    ranks = materialise(base.select("host", F.col("s_trust").alias("trust"), F.col("s_distrust").alias("distrust")), "ranks")
+    start = lambda seed: (1 - damping) * (F.coalesce(seed, F.lit(0.0)) if seed else F.lit(1.0))
+    base = materialise(hosts.join(seeds, "host", "left").select("host", *(start(seed).alias(f"s_{c}") for c, _, seed in SCORES)), "seeds")
+    ranks = materialise(base.select("host", *(F.col(f"s_{c}").alias(c) for c, *_ in SCORES)), "ranks")
     if ways.isEmpty():
         return ranks
     for k in range(1, rounds + 1):
-        given = ways.join(ranks, "host").groupBy(F.col("to").alias("host")).agg(F.sum(F.col("t") * F.col("trust")).alias("g_t"), F.sum(F.col("d") * F.col("distrust")).alias("g_d"))
-        new = base.join(given, "host", "left").select("host", (F.col("s_trust") + damping * F.coalesce("g_t", F.lit(0.0))).alias("trust"), (F.col("s_distrust") + damping * F.coalesce("g_d", F.lit(0.0))).alias("distrust"))
+        got = ways.join(ranks, "host").groupBy(F.col("to").alias("host")).agg(*(F.sum(F.col(way) * F.col(c)).alias(f"g_{c}") for c, way, _ in SCORES))
+        new = base.join(got, "host", "left").select("host", *((F.col(f"s_{c}") + damping * F.coalesce(f"g_{c}", F.lit(0.0))).alias(c) for c, *_ in SCORES))
         before, ranks = ranks, materialise(new, "ranks")
-        done = k % STEP == 0 and (ranks.join(before.toDF("host", "t0", "d0"), "host").agg(F.max(F.greatest(F.abs(F.col("trust") - F.col("t0")), F.abs(F.col("distrust") - F.col("d0"))))).first()[0] or 0) < TOLERANCE
+        change = F.greatest(*(F.abs(F.col(c) - F.col(f"0_{c}")) for c, *_ in SCORES))
+        done = k % STEP == 0 and (ranks.join(before.toDF("host", *(f"0_{c}" for c, *_ in SCORES)), "host").agg(F.max(change)).first()[0] or 0) < TOLERANCE
         release(before)
         if done:
             break
@@ -90,7 +104,8 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, least: float
     seeds = materialise(ruled.where("host <> ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust")), "hosts")
     links = materialise(edges(rows), "links")
     ranks = propagate(seeds, links, damping)
-    bad = (F.col("distrust") >= least) & (F.col("distrust") > ratio * F.col("trust"))
+    blame = F.col("blame") / F.col("all_blame")
+    bad = (blame >= least) & (blame > ratio * F.col("trust") / F.col("all_trust"))
     joined = ruled.join(ranks, "host", "left")
     verdict = F.coalesce("verdict", F.when(bad, "block").otherwise("allow"))
     return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))

@@ -40,6 +40,14 @@ def test_distrust_runs_back_along_links(spark):
     assert got[4].trust > 0 and got[2].distrust > 0 and got[5].trust == got[5].distrust == 0
 
 
+def test_verdicts_dont_depend_on_the_number_of_linkers(spark):
+    for n in (1, 3, 1000):
+        pages = [(0, "http://bad.com/de/1", ""), *((k, f"http://fan{k}.net/1", '<a href="http://bad.com/de/1">y</a>') for k in range(1, n + 1))]
+        pages += [(2000, "http://apart.net/1", '<a href="http://other.net/">y</a>'), (2001, "http://other.net/1", "")]
+        got = {r.page_id: r.verdict for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+        assert {k for k, v in got.items() if v == "block"} == set(range(n + 1)), n
+
+
 def test_ranks_equal_the_matrix_form(spark):
     rng = np.random.default_rng(0)
     n = 12
