@@ -40,11 +40,15 @@ BASE = (
     Rule("access", "", r"AKIA[A-Z0-9]{14,}", 18),
     Rule("hex", "", r"[0-9a-f]{16,}", 16),
 )
-#: What the method adds: private key headers, JSON web tokens, credentials in addresses.
+#: A private key: from its header to its end, or, where the end is missing, as far as base64 goes. Line ends may be escaped. Possessive, so that it's read once.
+_GAP = r"(?:\s|\\[nrt])*+"
+_CUT = rf"(?:{_GAP}(?:Proc-Type|DEK-Info):[^\r\n\\]*+)*+(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+)++(?:{_GAP}[A-Za-z0-9+/]++={{0,2}}+(?=[\x20\t]*+(?:[\r\n\\]|\z)))?+"
+_PEM = rf"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )*PRIVATE KEY-----|{_CUT})?+"
+#: What the method adds: private keys, JSON web tokens, credentials in addresses.
 ADDED = (
-    Rule("pem", "", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", "", _PEM),
     Rule("jwt", "", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("url", r"://[A-Za-z0-9._~-]{1,64}:", r"[^\s:/@\x22'<>]{6,128}(?=@)"),
+    Rule("url", r"://[A-Za-z0-9._~-]++:", r"[^\s:/@\x22'<>]{6,}+(?=@)"),
 )
 RULES = BASE + ADDED
 

@@ -42,6 +42,24 @@ def test_added_rules(spark):
     assert [s.split(":")[0] for s in row.spans.split(",")] == ["pem", "url", "jwt"]
 
 
+def test_whole_keys_and_long_credentials_are_masked(spark):
+    body = "\n".join(["MIIEpAIBAAKCAQEA" + "aB3/" * 12] * 3000 + ["Zz9+aQ=="])
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    cases = [
+        (f"a {head}\n{body}\n{end} b", "a X b"),
+        (f"a {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n{end} b", "a X b"),
+        (f"a {head}\\n{body[:64]}\\n{end}\\n b", "a X\\n b"),
+        (f"a {head}\n{body}\nand more text", "a X\nand more text"),
+        (f"a {head}\nDEK-Info: AES-128-CBC,00FF\n\n{body}", "a X"),
+        (f"{head} {head}\n{body}\n{end} b {head} only", "X X b X only"),
+        (f"a https://{'u' * 100}:{'p#' * 300}@host/ b", "a httpsX@host/ b"),
+    ]
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in secrets.redact(docs, "X").collect()}
+    for k, (_, want) in enumerate(cases):
+        assert got[k] == want, k
+
+
 def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
     first = spark.createDataFrame([(1, "token = abcdefabcdef123"), (2, "clean")], "doc_id long, text string")
