@@ -1,17 +1,24 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-Words (lower-cased, between ASCII white space, and one end for each text) are the leaves of a
-two-level tree: the most frequent words have a leaf of their own, all others share leaves by
-their last two bytes. A leaf's probability is that of its class times that of the leaf in the class, both
-softmaxes over hashed features of the words before: the last word, the last two, and the last but
-one alone (a skip). A word in a shared leaf has its smoothed share of the leaf's training
-tokens, with room for one unseen word a leaf, so all probabilities of a place add up to 1.
-
-Training passes once over all training text in rounds. In a round the text is dealt to tasks; each
-makes AdaGrad steps from the same weights on its part, and the steps, weighted by tokens, are
-averaged into the next weights: what moves is proportional to the text, and what reaches
-the driver is one model. Word counts are a table that grows with the corpus and is never
-broadcast: texts are scored in blocks, and a join brings each block the counts of its words.
+Words (lower-cased, between ASCII white space, and one end for each text) hang in a tree of classes: a
+node has WIDTH children, classes or leaves, of about equal numbers of training tokens. Frequent
+words are leaves of their own; the others share leaves by their ending and their hash, and have in
+their leaf the smoothed share of its training tokens, with room for one unseen word a leaf. The chance of a
+word is the product of softmaxes on its way down the tree, so all chances of a place add up to 1. A
+child's logit is the log of its share of the node's tokens plus the weights of three hashed
+features, made of the leaves of the words before: the last, the last two, and the last but one alone
+(a skip). Without weights the model is the smoothed unigram model; the weights say what the words
+before change.
+
+Leaves and rows of weights grow with the square root of the training tokens, so the model covers the whole
+vocabulary at every size; LEAVES and ROWS bound what one task holds.
+
+Training passes once over all training text, in rounds. In a round each task makes AdaGrad steps from the same
+weights on its part of the scan, and each row of weights moves by the mean of the tasks' moves,
+weighted by how often each task met the row: what moves is proportional to the text, and the driver gets
+one model. Word counts are a table that grows with the corpus and is never broadcast. Frequent
+words' counts are in the model; of the others, each block of scored texts asks for its own kinds of words,
+packed by buckets of hashes, and gets their counts back. No text is shuffled.
 
 Cases: a null text is empty and has one token, the end; without training rows every score is 0;
 repeated rows are scored each time they come; words are told apart by 64-bit hashes; an empty
@@ -31,20 +38,25 @@ from tagwright.llm.kernels import LOWER, buffers, mix, slices, tokens
 from tagwright.llm.storage import materialise, text_bytes
 
 ALPHA = 0.1
-CLASSES = WIDTH = 16
-#: Leaves of single words; the rest of the CLASSES * WIDTH are shared by last bytes.
-WORD_LEAVES = 200
-#: Hashed rows of weights for classes and for leaves in classes.
-ROWS = (1 << 15, 1 << 16)
+WIDTH = 16
+#: Least and most leaves, and rows of weights; between, in proportion to the square root of the tokens.
+LEAVES = (256, 1 << 16)
+ROWS = (1 << 15, 1 << 20)
+LEAVES_PER_ROOT, ROWS_PER_ROOT = 0.5, 16
 ROUNDS = 3
-RATE = 0.4
+RATE = 0.3
+#: What a row's sum of squares starts with: the larger, the less a feature seen once says.
+DAMP = 1.0
 BATCH = 8192
-#: Bytes of text of a training task and of a scoring block.
-TASK_BYTES = 24 << 20
-BLOCK_BYTES = 16 << 20
+#: Bytes of text of a training task, of a block of scored texts, and of text for each bucket of words.
+TASK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
+BUCKET_BYTES = 16 << 20
+#: Distinct words that a counting task holds.
+HELD = 1 << 20
 END, START = np.uint64(0x0123456789ABCDEF), np.uint64(0x3C6EF372FE94F82B)
 #: Pieces in which weights are added up.
-CHUNKS = 48
+CHUNKS = 64
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,243 +74,450 @@ def blocks(batch: pa.RecordBatch, most: int = 1 << 20):
         yield lo, hi, *words(data, at[lo : hi + 1])
 
 
-@dataclass
-class Leaves:
-    """Which leaf a word has, and the tokens and kinds that shared leaves have in training."""
+def features(leaf: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """64-bit hashes of the features at each place."""
+    word = leaf.astype(np.uint64)
+    one, two = np.full(len(word), START), np.full(len(word), START)
+    one[1:] = np.where(row[1:] == row[:-1], word[:-1], START)
+    two[2:] = np.where(row[2:] == row[:-2], word[:-2], START)
+    return [mix(one + np.uint64(1)), mix(one * np.uint64(3) + mix(two)), mix(two * np.uint64(5) + np.uint64(2))]
 
-    head: np.ndarray  # sorted hashes
-    head_leaf: np.ndarray
-    tail_leaf: np.ndarray  # by last two bytes
-    shared: np.ndarray  # whether a leaf is shared
-    norm: np.ndarray  # log10 of a shared leaf's smoothed total
 
-    def of(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        leaf = self.tail_leaf[tail]
-        if len(self.head):
-            k = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
-            own = self.head[k] == h
-            leaf = np.where(own, self.head_leaf[k], leaf)
-        return leaf
+def tree(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes over leaves in their order: each leaf's way (node, child, by depth; -1 beyond it) and the log shares of each node's children."""
+    upto = np.concatenate([[0.0], np.cumsum(mass)])
+    node_of, child_of, shares = [], [], []
+    todo = [(0, len(mass), [])]
+    way: list[list[tuple[int, int]]] = [[] for _ in mass]
+    for lo, hi, before in todo:  # grows while it is read
+        node, at = len(shares), lo
+        share = np.full(WIDTH, -1e4, np.float32)
+        for child in range(WIDTH):
+            left = WIDTH - child
+            if at == hi:
+                break
+            if hi - at <= left:
+                end = at + 1
+            else:
+                want = upto[at] + (upto[hi] - upto[at]) / left
+                end = int(min(max(np.searchsorted(upto, want, "right") - 1, at + 1), hi - left + 1)) if left > 1 else hi
+            share[child] = np.log((upto[end] - upto[at]) / (upto[hi] - upto[lo]))
+            here = [*before, (node, child)]
+            if end - at == 1:
+                way[at] = here
+            else:
+                todo.append((at, end, here))
+            at = end
+        shares.append(share)
+    depth = max((len(w) for w in way), default=0)
+    node_of, child_of = (np.array([[x[k] for x in w] + [-1] * (depth - len(w)) for w in way], np.int32).reshape(len(way), depth) for k in (0, 1))
+    return node_of, child_of, np.array(shares, np.float32).reshape(-1, WIDTH)
 
 
-def features(h: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
-    """64-bit hashes of the features at each place."""
-    one, two = np.full(len(h), START), np.full(len(h), START)
-    one[1:] = np.where(row[1:] == row[:-1], h[:-1], START)
-    two[2:] = np.where(row[2:] == row[:-2], h[:-2], START)
-    return [mix(one + np.uint64(1)), mix(one * np.uint64(3) + mix(two)), mix(two * np.uint64(5) + np.uint64(2))]
+@dataclass
+class Leaves:
+    """Which leaf a word has, and what is known of leaves."""
+
+    head: np.ndarray  # sorted hashes of words with a leaf of their own
+    head_leaf: np.ndarray
+    head_share: np.ndarray  # log10 of their smoothed counts
+    first: np.ndarray  # by last two bytes: the first shared leaf and how many, by hash, there are
+    spread: np.ndarray
+    norm: np.ndarray  # log10 of a shared leaf's smoothed total, 0 for words' own
+    nodes: np.ndarray
+    children: np.ndarray
+    shares: np.ndarray
+
+    def of(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves, and the places in head, or -1."""
+        sub = (mix(h + np.uint64(77)) >> np.uint64(40)).astype(np.int64)
+        leaf = self.first[tail] + sub % self.spread[tail]
+        if not len(self.head):
+            return leaf, np.full(len(h), -1)
+        k = np.minimum(np.searchsorted(self.head, h), len(self.head) - 1)
+        own = self.head[k] == h
+        return np.where(own, self.head_leaf[k], leaf), np.where(own, k, -1)
 
 
 class Weights:
-    def __init__(self, leaves: int, arrays: list[np.ndarray] | None = None):
-        self.arrays = arrays or [np.zeros((r + 1, WIDTH), np.float32) for r in ROWS]  # the last row of classes is their bias
-        used = np.arange(CLASSES * WIDTH).reshape(CLASSES, WIDTH) < max(1, leaves)
-        self.open = [np.where(used.any(1), 0, -1e9).astype(np.float32)[None, :], np.where(used, 0, -1e9).astype(np.float32)]
-
-    def rows(self, level: int, found: list[np.ndarray], cls: np.ndarray) -> list[np.ndarray]:
-        least = np.uint64(ROWS[level] - 1)
-        if level == 0:
-            return [(f & least).astype(np.uint16) for f in found]
-        step = cls.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return [(mix(f + step) & least).astype(np.uint16) for f in [*found, np.zeros(len(cls), np.uint64)]]
-
-    def chances(self, level: int, rows: list[np.ndarray], cls: np.ndarray) -> np.ndarray:
-        w = self.arrays[level]
-        logits = w[rows[0]]
-        for r in rows[1:]:
-            logits += w[r]
-        logits += (self.open[0] + w[-1]) if level == 0 else self.open[1][cls]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits
+    def __init__(self, leaves: Leaves, rows: int, values: np.ndarray | None = None):
+        self.leaves, self.least = leaves, np.uint64(rows - 1)
+        self.w = np.zeros((rows, WIDTH), np.float32) if values is None else values
+        self.ones = np.ones(WIDTH, np.float32)
 
-    def log10(self, leaf: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
-        cls, own = leaf // WIDTH, leaf % WIDTH
+    def levels(self, leaf: np.ndarray, found: list[np.ndarray]):
+        """(places, node, child, rows of weights) of each depth."""
         at = np.arange(len(leaf))
+        for k in range(self.leaves.nodes.shape[1]):
+            node = self.leaves.nodes[leaf[at], k]
+            some = node >= 0
+            if not some.all():
+                at, node = at[some], node[some]
+            if not len(at):
+                return
+            step = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            yield at, node, self.leaves.children[leaf[at], k], [(mix(f[at] + step) & self.least).astype(np.int64) for f in found]
+
+    def logits(self, node: np.ndarray, rows: list[np.ndarray]) -> np.ndarray:
+        out = self.leaves.shares.take(node, 0)
+        for r in rows:
+            out += self.w.take(r, 0)
+        return np.minimum(out, 60, out=out)
+
+    def log10(self, leaf: np.ndarray, found: list[np.ndarray]) -> np.ndarray:
         total = np.zeros(len(leaf))
-        for level, y in ((0, cls), (1, own)):
-            total += np.log10(np.maximum(self.chances(level, self.rows(level, found, cls), cls)[at, y], 1e-30))
+        for at, node, child, rows in self.levels(leaf, found):
+            x = self.logits(node, rows)
+            own = x[np.arange(len(at)), child].astype(np.float64)
+            total[at] += (own - np.log(np.exp(x, out=x) @ self.ones)) / np.log(10)
         return total
 
-    def step(self, seen: list[np.ndarray], leaf: np.ndarray, found: list[np.ndarray], rate: float) -> None:
-        """One AdaGrad step on a batch; seen: the sums of squares, by row."""
-        cls, own = leaf // WIDTH, leaf % WIDTH
-        at = np.arange(len(leaf))
-        for level, y in ((0, cls), (1, own)):
-            rows = self.rows(level, found, cls)
-            up = -self.chances(level, rows, cls)
-            up[at, y] += 1
-            w, s = self.arrays[level], seen[level]
+    def step(self, seen: np.ndarray, met: np.ndarray, leaf: np.ndarray, found: list[np.ndarray], rate: float) -> None:
+        """One AdaGrad step on a batch of 2**16 places at most. seen: the sums of squares, met: the number of tokens, by row."""
+        for at, node, child, rows in self.levels(leaf, found):
+            up = self.logits(node, rows)
+            np.exp(up, out=up)
+            up *= (-1 / (up @ self.ones))[:, None]
+            up[np.arange(len(at)), child] += 1
             for r in rows:
-                order = np.argsort(r, kind="stable")
-                ranked = r[order]
+                order = np.sort((r << 16) | np.arange(len(r)))
+                ranked = order >> 16
                 first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-                g = np.add.reduceat(up[order], first, axis=0)
+                g = np.add.reduceat(up.take(order & 0xFFFF, 0), first, axis=0)
                 which = ranked[first]
-                s[which] += (g * g).mean(1)
-                w[which] += rate * g / np.sqrt(s[which] + 1e-3)[:, None]
-            if level == 0:
-                g = up.sum(0)
-                s[-1] += (g * g).mean()
-                w[-1] += rate * g / np.sqrt(s[-1] + 1e-3)
-
-
-def _count(batches):
-    """(h, tail, c): words and their numbers, added up within blocks of a task."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def flush():
-        h = np.concatenate([x[0] for x in held])
-        some, first, back = np.unique(h, return_index=True, return_inverse=True)
-        c = np.bincount(back, np.concatenate([x[2] for x in held])).astype(np.int64)
-        tail = np.concatenate([x[1] for x in held])[first]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(some.view(np.int64)), pa.array(tail.astype(np.int32)), pa.array(c)], ["h", "tail", "c"])
+                s = seen.take(which) + np.einsum("ij,ij->i", g, g) / WIDTH
+                seen[which] = s
+                met[which] += np.diff(first, append=len(r))
+                g *= (rate / np.sqrt(s))[:, None]
+                g += self.w.take(which, 0)
+                self.w[which] = g
+
+
+def _buckets(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted hashes: the buckets that have some, and where each starts and the last ends."""
+    of = (h >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(h), np.int64)
+    at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])) if len(h) else np.zeros(0, np.int64)
+    return of[at], np.append(at, len(h))
+
+
+def _binary(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.tobytes() for x in arrays], pa.binary())
+
+
+VOCABULARY = "bucket long, h binary, tail binary, c binary"
+
+
+def _count(bits: int):
+    """Words and their numbers, added up within blocks of a task and packed by bucket."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush():
+            h, first, back = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+            c = np.bincount(back, np.concatenate([x[2] for x in held])).astype(np.uint64)
+            tail = np.concatenate([x[1] for x in held])[first].astype(np.uint16)
+            held.clear()
+            which, at = _buckets(h, bits)
+            cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(which), *(_binary([x[a:b] for a, b in cuts]) for x in (h, tail, c))], ["bucket", "h", "tail", "c"])
+
+        for batch in batches:
+            for _, _, h, tail, _ in blocks(batch):
+                some, first, c = np.unique(h, return_index=True, return_counts=True)
+                held.append((some, tail[first], c))
+                if sum(len(x[0]) for x in held) > HELD:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return run
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, tail, c = (np.frombuffer(b"".join(table.column(k).to_pylist()), t) for k, t in (("h", np.uint64), ("tail", np.uint16), ("c", np.uint64)))
+    return h, tail, c
+
+
+def _merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+    """One row for a bucket: its words, sorted by hash, and their numbers."""
+    h, tail, c = _unpacked(group)
+    some, first, back = np.unique(h, return_index=True, return_inverse=True)
+    total = np.zeros(len(some), np.uint64)
+    np.add.at(total, back, c)
+    return pa.table({"bucket": pa.array([key[0].as_py()], pa.int64()), **{k: _binary([x]) for k, x in (("h", some), ("tail", tail[first]), ("c", total))}})
 
+
+def _packed(batches):
     for batch in batches:
-        for _, _, h, tail, _ in blocks(batch):
-            some, first, c = np.unique(h, return_index=True, return_counts=True)
-            held.append((some, tail[first], c))
-            if sum(len(x[0]) for x in held) > 1_000_000:
-                yield flush()
-    if held:
-        yield flush()
+        for k in range(batch.num_rows):
+            yield _unpacked(pa.Table.from_batches([batch.slice(k, 1)]))
+
 
+def _largest(most: int):
+    """The most frequent words of each bucket."""
 
-def _train(leaves: Leaves, n_leaves: int, arrays: list[np.ndarray], rate: float):
+    def run(batches):
+        for h, tail, c in _packed(batches):
+            top = np.argsort(-c.astype(np.float64), kind="stable")[:most]
+            yield pa.RecordBatch.from_arrays([pa.array(h[top].view(np.int64)), pa.array(tail[top].astype(np.int32)), pa.array(c[top].astype(np.int64))], ["h", "tail", "c"])
+
+    return run
+
+
+def _sums(head: np.ndarray, keys, n: int):
+    """(key, c, k): tokens and kinds of the words that aren't in head, by keys(h, tail) under n."""
+
+    def run(batches):
+        c_of, k_of = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for h, tail, c in _packed(batches):
+            rest = ~np.isin(h, head, assume_unique=True)
+            key = keys(h[rest], tail[rest])
+            np.add.at(c_of, key, c[rest].astype(np.int64))
+            k_of += np.bincount(key, minlength=n)
+        some = np.flatnonzero(k_of)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(c_of[some]), pa.array(k_of[some])], ["key", "c", "k"])
+
+    return run
+
+
+def _train(leaves: Leaves, values: np.ndarray, rate: float):
     def run(batches):
         from pyspark import TaskContext
 
-        work, n = Weights(n_leaves, [a.copy() for a in arrays]), 0
-        seen = [np.zeros(r + 1, np.float32) for r in ROWS]
+        rows = len(values)
+        work, n = Weights(leaves, rows, values.copy()), 0
+        seen, met = np.full(rows, DAMP, np.float32), np.zeros(rows, np.float32)
         for batch in batches:
             for _, _, h, tail, row in blocks(batch):
-                leaf, found = leaves.of(h, tail), features(h, row)
+                leaf, _ = leaves.of(h, tail)
+                found = features(leaf, row)
                 for a in range(0, len(h), BATCH):
-                    work.step(seen, leaf[a : a + BATCH], [f[a : a + BATCH] for f in found], rate)
+                    work.step(seen, met, leaf[a : a + BATCH], [f[a : a + BATCH] for f in found], rate)
                 n += len(h)
         if n:
-            flat = np.concatenate([(w - a).ravel() for w, a in zip(work.arrays, arrays, strict=True)]) * np.float32(n / 1e6)
-            parts = np.array_split(flat, CHUNKS)
             pid = TaskContext.get().partitionId()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(CHUNKS)), pa.array(np.full(CHUNKS, pid)), pa.array(np.full(CHUNKS, n / 1e6)), pa.array([p.astype(np.float16).tobytes() for p in parts], pa.binary())], ["chunk", "pid", "n", "d"])
+            for chunk, part in enumerate(np.array_split(np.arange(rows), CHUNKS)):
+                some = part[met[part] > 0]
+                moved = ((work.w[some] - values[some]) * met[some, None]).astype(np.float32)
+                yield _sum_row(chunk, pid, some, met[some], moved / np.maximum(met[some, None], 1))
 
     return run
 
 
-def _add(batches):
-    """Sums of the rows of each chunk, whatever their order."""
-    n: dict[int, float] = {}
-    d: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for chunk, k, x in zip(batch.column("chunk").to_pylist(), batch.column("n").to_pylist(), batch.column("d").to_pylist(), strict=True):
-            n[chunk] = n.get(chunk, 0.0) + k
-            d[chunk] = d.get(chunk, 0) + np.frombuffer(x, np.float16).astype(np.float32)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values())), pa.array([x.astype(np.float32).tobytes() for x in d.values()], pa.binary())], ["chunk", "n", "d"])
+SUMS = "chunk long, pid long, rows binary, met binary, moved binary"
+
+
+def _sum_row(chunk: int, pid: int, rows: np.ndarray, met: np.ndarray, mean: np.ndarray) -> pa.RecordBatch:
+    blobs = (rows.astype(np.int32), met.astype(np.float32), mean.astype(np.float16))
+    return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([pid], pa.int64()), *(_binary([x]) for x in blobs)], ["chunk", "pid", "rows", "met", "moved"])
+
+
+def _mean(rows: int):
+    """Means of the moves of each chunk's rows, whatever the order in which they come."""
+    starts = [part[0] for part in np.array_split(np.arange(rows), CHUNKS)] + [rows]
+
+    def run(batches):
+        sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for chunk, *blobs in zip(*(batch.column(c).to_pylist() for c in ("chunk", "rows", "met", "moved")), strict=True):
+                at, met, moved = (np.frombuffer(x, t) for x, t in zip(blobs, (np.int32, np.float32, np.float16), strict=True))
+                if chunk not in sums:
+                    size = starts[chunk + 1] - starts[chunk]
+                    sums[chunk] = np.zeros(size), np.zeros((size, WIDTH))
+                at = at - starts[chunk]
+                sums[chunk][0][at] += met
+                sums[chunk][1][at] += moved.reshape(-1, WIDTH).astype(np.float64) * met[:, None]
+        for chunk, (met, moved) in sums.items():
+            some = np.flatnonzero(met)
+            yield _sum_row(chunk, 0, some + starts[chunk], met[some], moved[some] / met[some, None])
+
+    return run
 
 
 @dataclass
 class Model:
-    vocabulary: DataFrame  # h, c
+    vocabulary: DataFrame  # VOCABULARY
+    bits: int
     leaves: Leaves
-    n_leaves: int
-    arrays: list[np.ndarray]
+    values: np.ndarray
     n: int
     kinds: int
 
 
+def _size(n: int, per_root: float, bounds: tuple[int, int]) -> int:
+    """A power of two in proportion to the root of n."""
+    return min(bounds[1], max(bounds[0], 1 << int(np.ceil(np.log2(max(1.0, per_root * n**0.5))))))
+
+
+def _leaves(vocabulary: DataFrame) -> tuple[Leaves, int, int]:
+    """The leaves, and how many tokens and kinds of words there are."""
+    none = np.zeros(0, np.uint64)
+    by_tail = vocabulary.mapInArrow(_sums(none, lambda h, tail: tail.astype(np.int64), 1 << 16), "key long, c long, k long")
+    total = by_tail.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
+    n, kinds = int(total["c"]), int(total["k"])
+    wanted = _size(n, LEAVES_PER_ROOT, LEAVES)
+    top = vocabulary.mapInArrow(_largest(wanted // 2), "h long, tail int, c long").orderBy(F.desc("c"), "h").limit(wanted // 2).collect()
+    top.sort(key=lambda r: np.int64(r["h"]).view(np.uint64))
+    head = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    rest = vocabulary.mapInArrow(_sums(head, lambda h, tail: tail.astype(np.int64), 1 << 16), "key long, c long, k long")
+    tails = np.zeros(1 << 16)
+    for r in rest.groupBy("key").agg(F.sum("c").alias("c")).collect():  # 65,536 rows at most
+        tails[r["key"]] = r["c"]
+    # endings in order, dealt so that each shared leaf has about as many tokens: rare ones share a leaf, frequent ones have several by hash
+    each = max(1.0, tails.sum() / max(1, wanted // 2))
+    spread = np.maximum(1, np.minimum(1 << 12, np.round(tails / each))).astype(np.int64)
+    low = spread == 1
+    group = np.zeros(1 << 16, np.int64)
+    run, filled, number = 0, 0.0, -1
+    for t in range(1 << 16):  # neighbours under one share of tokens are one leaf
+        if not low[t] or number < 0 or not run or filled + tails[t] > each:
+            number += int(spread[t])
+            group[t], filled, run = number - int(spread[t]) + 1, tails[t], int(low[t])
+        else:
+            group[t], filled = number, filled + tails[t]
+    shared = number + 1
+    cell = lambda h, tail: group[tail] + (mix(h + np.uint64(77)) >> np.uint64(40)).astype(np.int64) % spread[tail]
+    cells = vocabulary.mapInArrow(_sums(head, cell, shared), "key long, c long, k long").groupBy("key").agg(F.sum("c").alias("c"), F.sum("k").alias("k")).collect()
+    mass = np.full(shared, ALPHA)
+    for r in cells:
+        mass[r["key"]] += r["c"] + ALPHA * r["k"]
+    counts = np.array([r["c"] for r in top], np.float64)
+    # leaves in order of their endings, so that classes are words of like endings
+    first_tail = np.zeros(shared, np.int64)
+    for t in range((1 << 16) - 1, -1, -1):
+        first_tail[group[t] : group[t] + spread[t]] = t
+    endings = np.concatenate([first_tail, np.array([r["tail"] for r in top], np.int64)])
+    masses = np.concatenate([mass, counts + ALPHA])
+    order = np.lexsort((-masses, endings))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    nodes, children, shares = tree(masses[order])
+    norm = np.concatenate([np.log10(mass), np.zeros(len(top))])
+    return Leaves(head, shared + np.arange(len(top)), np.log10(counts + ALPHA), group, spread, norm, nodes[place], children[place], shares), n, kinds
+
+
 def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE) -> Model:
     """Learn from every row of ``docs(doc_id, text)``."""
-    spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_count, "h long, tail int, c long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("c").alias("c"))
-    vocabulary = materialise(counted, "vocabulary")
-    top = vocabulary.orderBy(F.desc("c"), "h").limit(WORD_LEAVES).collect()
-    own = F.broadcast(spark.createDataFrame([(r["h"],) for r in top], "h long"))
-    groups = vocabulary.join(own, "h", "left_anti").groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()  # 65,536 rows at most
-    total = int(sum(r["c"] for r in top) + sum(r["c"] for r in groups))
-    # the endings with most tokens have a leaf each, the others share one
-    groups.sort(key=lambda r: (-r["c"], r["tail"]))
-    leaf_of = {r["tail"]: min(k, CLASSES * WIDTH - WORD_LEAVES - 2) for k, r in enumerate(groups)}
-    rest = CLASSES * WIDTH - WORD_LEAVES - 1
-    mass = {(1, k): [0, 0] for k in range(rest)} | {(1, rest): [0, 0]}
-    for r in groups:
-        mass[1, leaf_of[r["tail"]]][0] += r["c"]
-        mass[1, leaf_of[r["tail"]]][1] += r["k"]
-    mass = {k: v for k, v in mass.items() if v[0] or k[1] == rest}
-    ranked = sorted([*((r["c"], (0, r["h"])) for r in top), *((v[0], k) for k, v in mass.items())], key=lambda x: (-x[0], x[1]))
-    number = {k: i for i, (_, k) in enumerate(ranked)}
-    head = np.array(sorted((r["h"] for r in top), key=lambda h: np.int64(h).view(np.uint64)), np.int64)
-    tail_leaf = np.full(1 << 16, number[1, rest], np.int64)
-    for t, k in leaf_of.items():
-        tail_leaf[t] = number[1, k]
-    shared, norm = np.zeros(CLASSES * WIDTH, bool), np.zeros(CLASSES * WIDTH)
-    for (kind, k), i in number.items():
-        if kind == 1:
-            shared[i], norm[i] = True, np.log10(mass[1, k][0] + ALPHA * (mass[1, k][1] + 1))
-    leaves = Leaves(head.view(np.uint64), np.array([number[0, h] for h in head.tolist()], np.int64), tail_leaf, shared, norm)
-
-    arrays = Weights(len(number)).arrays
     size = text_bytes(docs)
-    tasks = max(1, -(-size // (rounds * TASK_BYTES)))
-    for k in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds)) == k).select("text").repartition(tasks)
-        steps = part.mapInArrow(_train(leaves, len(number), arrays, rate), "chunk long, pid long, n double, d binary")
-        sums = steps.repartition("chunk", F.col("pid") % 64).mapInArrow(_add, "chunk long, n double, d binary")
-        n, d = {}, {}
-        for r in sums.toLocalIterator() if tasks > 64 else sums.collect():
-            n[r["chunk"]] = n.get(r["chunk"], 0.0) + r["n"]
-            d[r["chunk"]] = d.get(r["chunk"], 0) + np.frombuffer(r["d"], np.float32)
-        if n:
-            flat, at = np.concatenate([d[c] / n[c] for c in sorted(d)]), 0
-            for j, a in enumerate(arrays):
-                arrays[j] = a + flat[at : at + a.size].reshape(a.shape)
-                at += a.size
-    return Model(vocabulary.select("h", "c"), leaves, len(number), arrays, total, vocabulary.count())
+    bits = max(0, int(np.ceil(np.log2(max(1.0, size / BUCKET_BYTES)))))
+    counted = docs.select("text").mapInArrow(_count(bits), VOCABULARY)
+    vocabulary = materialise(counted.groupBy("bucket").applyInArrow(_merge, VOCABULARY), "vocabulary")
+    leaves, n, kinds = _leaves(vocabulary)
+    rows = _size(n, ROWS_PER_ROOT, ROWS)
+    values = np.zeros((rows, WIDTH), np.float32)
+    tasks = max(1, -(-size // (max(1, rounds) * TASK_BYTES)))
+    for k in range(rounds if n else 0):
+        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(rounds)) == k).select("text").coalesce(tasks)
+        moves = part.mapInArrow(_train(leaves, values, rate), SUMS)
+        partly = moves.repartition("chunk", F.col("pid") % 16).mapInArrow(_mean(rows), SUMS)
+        values = values.copy()
+        for r in partly.repartition("chunk").mapInArrow(_mean(rows), SUMS).collect():  # one model
+            values[np.frombuffer(r["rows"], np.int32)] += np.frombuffer(r["moved"], np.float16).reshape(-1, WIDTH)
+    return Model(vocabulary, bits, leaves, values, n, kinds)
+
+
+#: A block's questions have a bucket and hashes; what it knows by itself has neither.
+ASKED = "block long, bucket long, h binary, doc_id array<long>, held_out array<boolean>, n array<long>, known array<long>, base array<double>, score array<double>, rest binary, kinds binary"
+
+
+def _score(model: Model):
+    leaves, values, bits = model.leaves, model.values, model.bits
 
+    def run(batches):
+        import zstandard
+        from pyspark import TaskContext
 
-def _known(batches):
-    """(block, h): the kinds of words in each block's texts."""
-    for batch in batches:
-        of = batch.column("block").to_numpy()
-        for b in np.unique(of).tolist():
-            some = batch.take(pa.array(np.flatnonzero(of == b)))
-            h = np.unique(np.concatenate([np.unique(x[2]) for x in blocks(some)]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b)), pa.array(h.view(np.int64))], ["block", "h"])
-
-
-def _score(leaves: Leaves, n_leaves: int, arrays: list[np.ndarray], total: int, kinds: int):
-    def run(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        work = Weights(n_leaves, arrays)
-        h, first = np.unique(counts.column("h").to_numpy().view(np.uint64), return_index=True)
-        c = counts.column("c").to_numpy()[first]
-        norm = np.log10(total + ALPHA * (kinds + 1))
-        out: list[list[np.ndarray]] = [[], [], [], []]
-        for batch in texts.combine_chunks().to_batches():
-            for lo, hi, word, tail, row in blocks(batch):
-                n = np.zeros(len(word), np.int64)
-                if len(h):
-                    k = np.minimum(np.searchsorted(h, word), len(h) - 1)
-                    n = np.where(h[k] == word, c[k], 0)
-                share = np.log10(n + ALPHA)
-                leaf, found = leaves.of(word, tail), features(word, row)
-                score = np.where(leaves.shared[leaf], share - leaves.norm[leaf], 0.0)
-                for a in range(0, len(word), BATCH):
-                    score[a : a + BATCH] += work.log10(leaf[a : a + BATCH], [f[a : a + BATCH] for f in found])
-                for x, v in zip(out, (None, n > 0, share - norm, score), strict=True):
-                    x.append(np.bincount(row, v, hi - lo))
-        n, known, base, score = (np.concatenate(x) if x else np.zeros(0) for x in out)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": n.astype(np.int64), "n_known": known.astype(np.int64), "train_tokens": pa.array(np.full(len(n), total, np.int64)), "base_score": base, "score": score})
+        work, number = Weights(leaves, len(values), values), TaskContext.get().partitionId() << 32
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            data, at = buffers(batch.column("text"))
+            for lo, hi in slices(at, BLOCK_BYTES):
+                size = hi - lo
+                n, known, base, score = (np.zeros(size) for _ in range(4))
+                rest_h, rest_row = [], []
+                for a, b in slices(at[lo : hi + 1], 1 << 20):
+                    h, tail, row = words(data, at[lo + a : lo + b + 1])
+                    leaf, place = leaves.of(h, tail)
+                    found = features(leaf, row)
+                    own = place >= 0
+                    chance = np.concatenate([work.log10(leaf[x : x + BATCH], [f[x : x + BATCH] for f in found]) for x in range(0, len(h), BATCH)])
+                    share = np.where(own, leaves.head_share[place], 0.0) if len(leaves.head) else np.zeros(len(h))
+                    for into, v in ((n, None), (known, own), (base, share), (score, chance - leaves.norm[leaf])):
+                        into[a:b] = np.bincount(row, v, b - a)
+                    rest_h.append(h[~own])
+                    rest_row.append(row[~own] + a)
+                kinds, which = np.unique(np.concatenate(rest_h), return_inverse=True)
+                row = np.concatenate(rest_row)
+                which = np.sort(row * max(1, len(kinds)) + which) % max(1, len(kinds))  # by row, the order inside doesn't count
+                asked, cuts = _buckets(kinds, bits)
+                m, blobs = len(asked), _binary([kinds[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)])
+                few = lambda x, t: pa.array([None] * m + [x], t)
+                told = [batch.column("doc_id").slice(lo, size).to_pylist(), batch.column("held_out").slice(lo, size).to_pylist(), n.astype(np.int64), known.astype(np.int64), base, score]
+                types = [pa.list_(t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                packed = [pack(np.bincount(row, minlength=size).astype(np.uint32).tobytes()), pack(np.diff(which, prepend=0).astype(np.int32).tobytes())]
+                columns = [pa.array([number] * (m + 1), pa.int64()), pa.array([*asked.tolist(), None], pa.int64()), pa.concat_arrays([blobs, pa.nulls(1, pa.binary())])]
+                columns += [few(x, t) for x, t in zip(told, types, strict=True)] + [few(x, pa.binary()) for x in packed]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ASKED.split(", ")])
+                number += 1
+
+    return run
+
+
+def _answer(asked: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    """The numbers of the words that each block asked a bucket for."""
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=1).compress
+    h, _, c = _unpacked(vocabulary)
+    out = []
+    for blob in asked.column("h").to_pylist():
+        want = np.frombuffer(blob, np.uint64)
+        if len(h):
+            k = np.minimum(np.searchsorted(h, want), len(h) - 1)
+            out.append(np.where(h[k] == want, c[k], np.uint64(0)))
+        else:
+            out.append(np.zeros(len(want), np.uint64))
+    return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "c": pa.array([pack(x.tobytes()) for x in out], pa.binary())})
+
+
+def _finish(total: int, kinds: int):
+    norm = np.log10(total + ALPHA * (kinds + 1)) if total else 0.0
+
+    def run(blocks_: pa.Table, answers: pa.Table) -> pa.Table:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        known_of: dict[int, list[tuple[int, bytes]]] = {}
+        for block, bucket, c in zip(*(answers.column(x).to_pylist() for x in ("block", "bucket", "c")), strict=True):
+            known_of.setdefault(block, []).append((bucket, c))
+        out: list[list] = [[] for _ in range(6)]
+        for r in blocks_.to_pylist():
+            c = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(unpack(x), np.uint64) for _, x in sorted(known_of.get(r["block"], [])))])
+            which = np.cumsum(np.frombuffer(unpack(r["kinds"]), np.int32), dtype=np.int64)
+            size = len(r["doc_id"])
+            row = np.repeat(np.arange(size), np.frombuffer(unpack(r["rest"]), np.uint32))
+            share = np.bincount(row, np.log10(c[which] + ALPHA), size)
+            n = np.array(r["n"], np.int64)
+            known = np.array(r["known"], np.int64) + np.bincount(row, c[which] > 0, size).astype(np.int64)
+            base = np.array(r["base"]) + share - n * norm if total else np.zeros(size)
+            score = np.array(r["score"]) + share if total else np.zeros(size)
+            for x, v in zip(out, (r["doc_id"], r["held_out"], n.tolist(), known.tolist(), base.tolist(), score.tolist()), strict=True):
+                x += v
+        doc, held, n, known, base, score = out
+        types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+        columns = (doc, held, n, known, [total] * len(n), base, score)
+        return pa.table([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """For each row of ``docs(doc_id, held_out, text)``: tokens, known tokens, the unigram base and the model's log10 probability."""
-    n = max(1, -(-text_bytes(docs) // BLOCK_BYTES))
-    rows = docs.select("doc_id", "held_out", "text", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(n)).cast("long").alias("block"))
-    kinds = materialise(rows.select("block", "text").repartition("block").mapInArrow(_known, "block long, h long"), "kinds")
-    counts = kinds.join(model.vocabulary, "h")
-    run = _score(model.leaves, model.n_leaves, model.arrays, model.n, model.kinds)
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
+    asked = materialise(rows.mapInArrow(_score(model), ASKED), "asked")
+    questions = asked.where("bucket is not null").select("block", "bucket", "h")
+    answers = questions.groupBy("bucket").cogroup(model.vocabulary.groupBy("bucket")).applyInArrow(_answer, "block long, bucket long, c binary")
+    answers = materialise(answers, "answers")
+    told = asked.where("bucket is null").drop("bucket", "h")
+    return told.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_finish(model.n, model.kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
