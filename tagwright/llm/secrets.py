@@ -2,9 +2,9 @@
 
 Every version of every path is addressed by the SHA-256 of its text. The ledger knows which blobs were
 scanned under which version of the rules; only unseen pairs are scanned, once for all paths
-and versions that share a blob, and the findings are joined back to all of them. A ledger is
-a folder of batches: a batch's findings are written before the note that its blobs were scanned, so
-a run that breaks off leaves only work to be done again.
+and versions that share a blob, and the findings are joined back to all of them. The ledger keeps
+the paths of every run, so the findings of older versions can be told as well. A run that breaks off
+leaves nothing that is read, only work to be done again.
 
 DataFrame functions only. A regular expression finds one kind; its matches are framed with control
 characters, the text is split at the frames, and running sums of the parts' lengths give the
@@ -86,47 +86,73 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 class Ledger:
-    """Scanned blobs and their findings, in a folder that all executors reach."""
+    """Paths, scanned blobs and findings of all runs, in a folder that all executors reach.
 
-    SCANNED = "sha string, rules string"
-    FINDINGS = "sha string, kind string, rank int, start long, end long, rules string"
+    A run's rows are a batch, a folder in each table. The note that a batch is whole is written last, and only
+    whole batches are read: what a run that broke off has left is never seen.
+    """
+
+    TABLES = {
+        "paths": "doc_id long, sha string, version long",
+        "scanned": "sha string, rules string",
+        "findings": "sha string, kind string, rank int, start long, end long, rules string",
+    }
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
-    def _read(self, table: str, schema: str) -> DataFrame:
-        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}")
-        if not where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where):
+    def _file(self, name: str):
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return file, file.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[str]:
+        """The names of whole batches, one for each run, in order."""
+        folder, fs = self._file("whole")
+        return sorted(f.getPath().getName() for f in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _read(self, table: str, batches: list[str] | None = None) -> DataFrame:
+        some = self.batches() if batches is None else batches
+        schema = self.TABLES[table]
+        if not some:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.path}/{table}")
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{table}/{b}" for b in some))
 
     def scanned(self) -> DataFrame:
-        return self._read("scanned", self.SCANNED)
+        return self._read("scanned")
 
     def findings(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        return self._read("findings", self.FINDINGS).where(F.col("rules") == version(rules)).drop("rules")
-
-    def update(self, texts: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-        """Scan what is new in ``texts(sha, text)``; all findings that the ledger then has under these rules."""
-        mark, batch = version(rules), f"batch-{uuid.uuid4().hex}"
-        seen = self.scanned().where(F.col("rules") == mark)
-        new = texts.groupBy("sha").agg(F.first("text").alias("text"))
+        """Each finding once, also if two runs at a time have scanned its blob."""
+        return self._read("findings").where(F.col("rules") == version(rules)).drop("rules").dropDuplicates(["sha", "rank", "start"])
+
+    def update(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """Keep the paths of ``docs(doc_id, sha, text)`` as a version and scan what is new in it; the paths."""
+        mark, known = version(rules), self.batches()
+        number = 1 + max((int(b.split("-")[0]) for b in known), default=0)
+        batch = f"{number:08d}-{uuid.uuid4().hex}"
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "sha", F.lit(number).cast("long").alias("version")).write.parquet(f"{self.path}/paths/{batch}")
+        texts = docs.select("sha", "text")
+        seen = self._read("scanned", known).where(F.col("rules") == mark).select("sha").distinct()
         if not seen.isEmpty():
-            new = texts.join(seen, "sha", "left_anti").groupBy("sha").agg(F.first("text").alias("text"))
-        found = scan(new, rules).withColumn("rules", F.lit(mark))
+            texts = texts.join(seen, "sha", "left_anti")
+        found = scan(texts.groupBy("sha").agg(F.first("text").alias("text")), rules).withColumn("rules", F.lit(mark))
         found.select("sha", "kind", "rank", "start", F.col("end").cast("long").alias("end"), "rules").write.parquet(f"{self.path}/findings/{batch}")
-        texts.select("sha").distinct().join(seen.select("sha"), "sha", "left_anti").withColumn("rules", F.lit(mark)).write.parquet(f"{self.path}/scanned/{batch}")
-        return self.findings(rules)
+        own = self._read("paths", [batch])
+        own.select("sha").distinct().join(seen, "sha", "left_anti").withColumn("rules", F.lit(mark)).write.parquet(f"{self.path}/scanned/{batch}")
+        file, fs = self._file(f"whole/{batch}")
+        fs.create(file).close()
+        return own
+
+    def history(self, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """(doc_id, version, sha, kind, start, end) of the findings in every version of every path."""
+        return self._read("paths").distinct().join(self.findings(rules), "sha").select("doc_id", "version", "sha", "kind", "start", "end")
 
 
 def find(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """The paths (doc_id, sha) of ``docs(doc_id, text)``, and each blob's findings as (sha, found: array of (start, rank, kind, end), in order)."""
     ledger = ledger or Ledger(docs.sparkSession)
-    rows = docs.select("doc_id", address().alias("sha"), F.coalesce("text", F.lit("")).alias("text"))
-    paths = materialise(rows.select("doc_id", "sha"), "paths")
-    found = ledger.update(rows.select("sha", "text"), rules)
-    blobs = found.groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
-    return paths, materialise(blobs, "blobs")
+    paths = ledger.update(docs.select("doc_id", address().alias("sha"), F.coalesce("text", F.lit("")).alias("text")), rules)
+    blobs = ledger.findings(rules).groupBy("sha").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end"))).alias("found"))
+    return paths.drop("version"), materialise(blobs, "blobs")
 
 
 def report(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from tagwright.llm import secrets
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -72,6 +74,38 @@ def test_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert ledger.scanned().count() == 6
 
 
+def test_a_run_that_breaks_off_counts_for_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(1, "token = abcdefabcdef123"), (2, "clean"), (2, "0123456789abcdef00")], "doc_id long, text string")
+    want = sorted(map(tuple, secrets.report(docs).collect()))
+    for k, table in enumerate(("findings", "scanned", "whole")):  # each time it ends before this is written
+        ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger{k}")
+        with monkeypatch.context() as m:
+            def fail(*_):
+                raise OSError(table)
+
+            if table == "findings":
+                m.setattr(secrets, "scan", fail)
+            elif table == "scanned":
+                m.setattr(ledger, "_read", lambda t, b=None: fail() if t == "paths" else secrets.Ledger._read(ledger, t, b))
+            else:
+                m.setattr(ledger, "_file", lambda name: secrets.Ledger._file(ledger, name) if name == "whole" else fail())
+            with pytest.raises(OSError):
+                secrets.report(docs, ledger)
+        for _ in range(2):
+            assert sorted(map(tuple, secrets.report(docs, ledger).collect())) == want
+        assert ledger.findings().count() == 2 and ledger.scanned().count() == 3
+
+
+def test_history_has_every_version_of_every_path(spark, tmp_path):
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    one, two = "token = abcdefabcdef123", "0123456789abcdef00"
+    for rows in ([(1, one), (2, "clean")], [(1, "clean"), (2, two), (3, one)], [(1, two)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert sorted(map(tuple, secrets.report(docs, ledger).collect())) == sorted(map(tuple, secrets.report(docs).collect()))
+    got = sorted((r.doc_id, r.version, r.kind) for r in ledger.history().collect())
+    assert got == [(1, 1, "assign"), (1, 3, "hex"), (2, 2, "hex"), (3, 2, "assign")]
+
+
 def test_redaction_joins_overlaps_and_keeps_the_rest(spark):
     rows = [(1, "a token = abcdefabcdefabcdefab é 0123456789abcdef!", 46, "r"), (2, "clean", 5, "r"), (3, None, None, "r"), (4, "0123456789abcdef", 16, "r")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, row string")
