@@ -41,10 +41,43 @@ CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "d
 #: Words in class, id or role that name what isn't main text.
 SIDE = re.compile(r"(?:^|[\s_-])(?:ads?\d*|advert\w*|alerts?|banner|breadcrumbs?|comment\w*|consent|cookies?|disqus|footer|gdpr|(?:site|page|main|global|top)[_-]?header|masthead|menu|navbar|navigation|nav|newsletter|notices?|popup|promo\w*|related|share|sharing|side-?bar|skip|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])|^header$", re.I)
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+OPEN = re.compile(r"<(?:(/?)([a-zA-Z][^\s/>]*+)|(!--)|(!\[CDATA\[)|[!?])")
+MARK = re.compile(r"""[>"']""")
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 
+class Tags:
+    """Where the page's tags end. Each place is looked at a bounded number of times, whatever is left open."""
+
+    def __init__(self, html: str):
+        self.html, self.last = html, html.rfind(">")
+        self.known: dict[int, int] = {}  # the end of a tag that goes on, outside quotes, at this place; -1: it has none
+
+    def end(self, at: int) -> int:
+        """The place after the > that ends a tag which goes on at ``at``, or -1: the first > outside quotes, or the first at all where quotes don't close."""
+        if at > self.last:
+            return -1
+        steps, place, found = [], at, None
+        while found is None:
+            if place in self.known:
+                found = self.known[place]
+                break
+            steps.append(place)
+            m = MARK.search(self.html, place)
+            if m is None:
+                found = -1
+            elif m[0] == ">":
+                found = m.end()
+            else:
+                close = self.html.find(m[0], m.end())
+                if close < 0:
+                    found = -1
+                place = close + 1
+        for x in steps:
+            self.known[x] = found
+        return found if found >= 0 else self.html.index(">", at) + 1
+
+
 class Element:
     __slots__ = ("tag", "start", "end", "children", "side", "main", "has_main")
 
@@ -55,7 +88,7 @@ class Element:
 def parse(html: str) -> Element:
     """The page's elements; a child is an element or a piece of text, with references still in it."""
     root = Element("html", 0, False, False)
-    stack, at, n = [root], 0, len(html)
+    stack, at, n = [root], 0, len(html)  # at: up to where the page is read
     opened: dict[str, list[int]] = {}  # places in the stack, by tag; of blocks; of article and main
     block_at: list[int] = []
     main_at: list[int] = []
@@ -74,17 +107,25 @@ def parse(html: str) -> Element:
             if element.tag in MAIN:
                 main_at.pop()
 
-    for m in iter(lambda: TOKEN.search(html, at), None):
-        text(at, m.start())
-        at = m.end()
-        if html.startswith("<![CDATA[", m.start()):
-            text(m.start() + 9, m.end() - 3 if m[0].endswith("]]>") else m.end())
+    tags, ends = Tags(html), {}
+    start = 0  # where to look for the next tag
+    while (m := OPEN.search(html, start)) is not None:
+        if not m[2]:  # a comment, raw text or a declaration, to its end or the page's
+            mark = "-->" if m[3] else "]]>" if m[4] else ">"
+            end = html.find(mark, m.end())
+            text(at, m.start())
+            at = start = n if end < 0 else end + len(mark)
+            if m[4]:
+                text(m.end(), n if end < 0 else end)
             continue
-        tag = m[2] or m[5]
-        if not tag:
+        end = tags.end(m.end())
+        if end < 0:  # no tag: text
+            start = m.end()
             continue
-        tag, attributes = tag.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
+        text(at, m.start())
+        tag, attributes = m[2].lower(), html[m.end() : end - 1]
+        at = start = end
+        if m[1]:
             # a stray end tag doesn't end the article
             if opened.get(tag) and (tag in ("body", "html") or not main_at or main_at[-1] <= opened[tag][-1]):
                 close(opened[tag][-1], at)
@@ -106,8 +147,10 @@ def parse(html: str) -> Element:
         if tag in VOID or attributes.endswith("/"):
             element.end = at
         elif tag in RAW:
-            end = re.compile(rf"</{tag}\s*+[^>]*+>", re.I).search(html, at)
-            element.end = at = end.end() if end else n
+            if tag not in ends:
+                ends[tag] = re.compile(rf"</{tag}(?![a-zA-Z0-9])[^>]*+>", re.I)
+            end = ends[tag].search(html, at) if at <= tags.last else None
+            element.end = at = start = end.end() if end else n
         else:
             opened.setdefault(tag, []).append(len(stack))
             if tag in BLOCK:
@@ -230,17 +273,33 @@ def _extract(batches):
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), sizes], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
+#: Rows of 16 bytes that a broadcast may have; with more templates the join is shuffled, in SALTS parts of each.
+BROADCAST_ROWS = 1_000_000
+SALTS = 32
+
+
+def extract(pages: DataFrame, least: int = PAGES, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages(page_id, url, html)``."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host().alias("host"))
-    seen = materialise(rows.select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, main long, hashes array<long>, boxes array<long>"), "subtrees")
+    seen = rows.select("page_id", "host", "html").mapInArrow(_hashes, "page_id long, host string, main long, hashes array<long>, boxes array<long>")
+    seen = materialise(seen.withColumn("host", F.xxhash64("host")), "subtrees")
     each = seen.select("page_id", "host", "main", "boxes", F.explode("hashes").alias("h"))
     # main texts set one of 64 bits: so many bits are so many texts at least, and only where they are too few are texts compared
     bit, box = F.expr("shiftleft(1L, cast(pmod(main, 64) as int))"), F.array_contains("boxes", F.col("h")).cast("int")
     counts = each.groupBy("host", "h").agg(F.count("*").alias("n"), F.bit_count(F.bit_or(bit)).alias("bits"), F.sum(box).alias("boxes")).where(F.col("n") >= least)
     counts = materialise(counts.select("host", "h", ((F.col("bits") >= least) | (F.col("boxes") >= least)).alias("sure")), "counts")
-    mains = each.join(counts.where("not sure").select("host", "h"), ["host", "h"]).select("host", "h", "main").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
+    unsure = counts.where("not sure").select("host", "h")
+    mains = _met(each.select("host", "h", "main", "page_id"), unsure, broadcast_rows).select("host", "h", "main").distinct().groupBy("host", "h").agg(F.count("*").alias("n"))
     template = materialise(counts.where("sure").select("host", "h").unionByName(mains.where(F.col("n") >= least).select("host", "h")), "template")
-    own = each.select("page_id", "host", "h").join(template, ["host", "h"])
+    own = _met(each.select("page_id", "host", "h"), template, broadcast_rows)
     deleted = materialise(own.groupBy("page_id").agg(F.collect_set("h").alias("template")), "deleted")  # a page's own elements at most
     return rows.join(deleted, "page_id", "left").select("page_id", "url", "html", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+
+
+def _met(each: DataFrame, some: DataFrame, broadcast_rows: int) -> DataFrame:
+    """The rows of ``each(host, h, page_id)`` whose (host, h) is in ``some``. A hot host's pages are dealt over parts."""
+    if some.count() <= broadcast_rows:
+        return each.join(F.broadcast(some), ["host", "h"], "left_semi")
+    parts = some.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return salted.join(parts, ["host", "h", "salt"], "left_semi").drop("salt")

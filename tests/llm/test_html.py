@@ -1,3 +1,9 @@
+import itertools
+import re
+import time
+from html import unescape
+from html.parser import HTMLParser
+
 import pytest
 
 from tagwright.llm import html
@@ -74,5 +80,138 @@ def test_deep_nesting(spark, tag):
     assert [r.text for r in got] == [{"font": "first\ndeep", "div": "first\ndeep", "main": "deep", "span class=ad": "first", "ul": "first\ndeep"}[tag]]
 
 
+@pytest.mark.parametrize("source", ["<a " * 350_000, "<a '" * 250_000 + ">", "<a x=\"" * 150_001 + "> <a ' >" * 20_000, "<!" * 500_000, "<b><!-- " * 100_000, "<script>" * 120_000 + ">", "</a" * 300_000 + ">x"])
+def test_tags_that_dont_close_are_read_once(spark, source):
+    start = time.monotonic()
+    (row,) = html.extract(spark.createDataFrame([(1, "http://a.example/", "<p>first</p>" + source)], "page_id long, url string, html string")).collect()
+    assert row.text.startswith("first") and time.monotonic() - start < 60
+
+
+def test_many_templates_are_joined_in_parts(spark):
+    rows = [(k, f"http://h{k % 2}.example/{k}", f"<body><div>Box of host {k % 2}</div><p>Body {k} of the page, longer than what is around it.</p></body>") for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, two = (sorted(map(tuple, html.extract(pages, broadcast_rows=n).collect())) for n in (1_000_000, 0))
+    assert one == two and all(r[2].startswith("Body") for r in one)
+
+
+class Plain(HTMLParser):
+    """A tree of [tag, side, main, children, start, end] made by the library's parser."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=False)
+        self.lines = [0, *itertools.accumulate(len(x) for x in page.splitlines(keepends=True))]
+        self.page, self.root = page, ["html", False, False, [], 0, len(page)]
+        self.open, self.seen = [self.root], set()
+        self.feed(page)
+        self.close()
+        for e in self.open:
+            e[5] = len(page)
+
+    def at(self):
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def shut(self, k, at):
+        for e in self.open[k:]:
+            e[5] = at
+        del self.open[k:]
+
+    def handle_starttag(self, tag, attrs):
+        at, end = self.at(), self.at() + len(self.get_starttag_text())
+        if tag in ("html", "body") and tag in self.seen:
+            return
+        self.seen.add(tag)
+        blocks = [k for k, e in enumerate(self.open) if e[0] in html.BLOCK and k]
+        if blocks and tag in html.CLOSES.get(self.open[blocks[-1]][0], ()):
+            self.shut(blocks[-1], at)
+        if tag == "body":
+            self.shut(1, at)
+        names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role"))
+        side = tag in html.LEFT_OUT or bool(names and tag not in ("article", "main", "body") and html.SIDE.search(names))
+        e = [tag, side, tag in ("article", "main"), [], at, end]
+        self.open[-1][3].append(e)
+        if tag not in html.VOID:
+            self.open.append(e)
+
+    def handle_endtag(self, tag):
+        mine = [k for k, e in enumerate(self.open) if e[0] == tag and k]
+        main = [k for k, e in enumerate(self.open) if e[2]]
+        if mine and (tag in ("body", "html") or not main or main[-1] <= mine[-1]):
+            self.shut(mine[-1], self.page.index(">", self.at()) + 1)
+
+    def handle_data(self, data):
+        self.open[-1][3].append(data)
+
+    def handle_entityref(self, name):
+        at = self.at()
+        self.open[-1][3].append(f"&{name}" + (";" if self.page[at + 1 + len(name) : at + 2 + len(name)] == ";" else ""))
+
+    def handle_charref(self, name):
+        self.handle_entityref("#" + name)
+
+
+def brute_texts(rows):
+    def words(e):
+        return sum(len(c.split()) if isinstance(c, str) else words(c) for c in e[3])
+
+    def has_main(e):
+        return any(not isinstance(c, str) and (c[2] or has_main(c)) for c in e[3])
+
+    def walk(e, inside, found):
+        for c in e[3]:
+            if isinstance(c, str):
+                continue
+            if c[0] not in ("html", "body", "head", "br") and not c[2] and not has_main(c) and not (inside and c[0] in html.TEXT) and c[3]:
+                found.append((c, inside and c[0] == "div" and all(isinstance(x, str) for x in c[3])))
+            walk(c, inside or c[2], found)
+        return found
+
+    def told(root, gone):
+        lines, whole = [[]], not has_main(root)
+
+        def read(e, inside):
+            for c in e[3]:
+                if isinstance(c, str):
+                    if inside:
+                        lines[-1].append(c)
+                    continue
+                block = c[0] in html.BLOCK
+                if c[0] == "br":
+                    lines[-1].append(" ")
+                    continue
+                if block:
+                    lines.append([])
+                if not (c[1] or id(c) in gone or (c[0] == "header" and not (inside and not whole))):
+                    read(c, inside or c[2])
+                if block:
+                    lines.append([])
+
+        read(root, whole)
+        return "\n".join(x for x in (" ".join(unescape("".join(line)).split()) for line in lines) if x)
+
+    pages, mains, boxes = [], {}, {}
+    for _, url, page in rows:
+        root = Plain(page).root
+        host = re.split("[/?#]", (url or "").split("://", 1)[-1], maxsplit=1)[0].lower() if "://" in (url or "") else ""
+        most = words(root) / 2
+        found = [(c, " ".join(page[c[4] : c[5]].split()), box) for c, box in walk(root, False, []) if c[1] or words(c) <= most]
+        pages.append((host, root, found))
+        for key in {(host, source) for _, source, _ in found}:
+            mains.setdefault(key, set()).add(told(root, set()))
+        for key in {(host, source) for _, source, box in found if box}:
+            boxes[key] = boxes.get(key, 0) + 1
+    return [told(root, {id(c) for c, source, _ in found if len(mains[host, source]) >= html.PAGES or boxes.get((host, source), 0) >= html.PAGES}) for host, root, found in pages]
+
+
+def test_equals_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.collect()]
+    rows += [(1000 + k, f"https://x.example/{k}", f"<body><ul><li>menu<li>b</ul><div class=x>hello</div><article><h1>T{k}</h1><p>Some text {k} &amp; more</p><div>box</div><section><p>same part</p></section></article></body>") for k in range(8)]
+    rows += [(2000 + k, f"https://y.example/{k}", f"<table><tr><td>a<td>b<tr><td>c</table><p>Body {k}<p>one more paragraph with {k} words<br>and a line") for k in range(7)]
+    got = {r.page_id: r for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for (i, _, _), want in zip(rows, brute_texts(rows), strict=True):
+        assert got[i].text == want and got[i].n_chars == len(want), i
+
+
 def test_empty_table(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
