@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 
 from tagwright.llm import jaccard
@@ -46,14 +47,42 @@ def corpus(seed, groups, copies):
     return rows
 
 
-@pytest.mark.parametrize("options", [{}, {"tile": 4}, {"tile": 4, "group_tiles": 1}])
-def test_equals_brute_force(spark, options):
-    rows = corpus(5, 25, 12)
+@pytest.mark.parametrize(("seed", "options"), [(5, {}), (5, {"tile": 4}), (5, {"tile": 4, "group_tiles": 1}), (7, {}), (8, {"probes": 0})])
+def test_equals_brute_force(spark, seed, options):
+    rows = corpus(seed, 25, 12)
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, node int")
     got = sorted(((r.doc_id, r.class_id, r.n_links) for r in jaccard.join(docs, **options).collect()), key=str)
     assert got == brute(rows)
 
 
+def test_links_are_the_same_whatever_the_tiles(spark):
+    """With few trees pairs are missed: the same ones in small groups and in large ones."""
+    docs = spark.createDataFrame([(a, b) for a, b in corpus(9, 6, 30)], "doc_id long, text string")
+    got = [sorted(map(tuple, jaccard.join(docs, trees=2, recall=0.5, **options).collect()), key=str) for options in ({}, {"tile": 5}, {"tile": 5, "group_tiles": 0})]
+    assert got[0] == got[1] == got[2]
+    assert sum(r[2] for r in got[0]) < sum(r[2] for r in brute(corpus(9, 6, 30)))
+
+
+def test_matched_prefixes_and_their_recall():
+    """The noted prefixes are those that brute force finds."""
+    texts = [t for _, t in corpus(11, 12, 30) if t and 5 <= len(t.split()) < 1000]
+    some = texts[::5]
+    known, signed = jaccard.probes_of(some, 1, 5, 5), [jaccard.probes_of([t], 1, 5, 5).keys[0] for t in texts]
+    sets = [{tuple(t.lower().split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    want = {}
+    for a, x in zip(sets, signed, strict=True):
+        for b, y in zip(sets[::5], signed[::5], strict=True):
+            if a != b and len(a & b) >= 0.8 * len(a | b):
+                most = max(next((d for d in range(5, 0, -1) if int(i) >> 12 * (5 - d) == int(j) >> 12 * (5 - d)), 0) for i, j in zip(x, y, strict=True))
+                want[most] = want.get(most, 0) + 1
+    (batch,) = jaccard._sign(1, 5, 5, known, 0.8)([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])
+    got = {}
+    for found in batch.column("matched").to_pylist():
+        for d in found:
+            got[d] = got.get(d, 0) + 1
+    assert got == want and sum(want.values()) > 50 and len(want) > 2
+
+
 def test_representatives_keep_one_of_each_class(spark):
     rows = corpus(6, 8, 5)
     docs = spark.createDataFrame([(a, b, k) for k, (a, b) in enumerate(rows)], "doc_id long, text string, class_id int")
@@ -67,9 +96,10 @@ def test_empty_table(spark):
 
 
 def test_prefixes_shorten_until_the_recall():
-    d = jaccard.prefix_length(0.8)
-    assert 1 - (1 - 0.8**d) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** jaccard.TREES
-    assert jaccard.prefix_length(0.99) > d
+    plain = jaccard.shorten({}, 0.8)
+    assert 1 - (1 - 0.8**plain) ** jaccard.TREES >= jaccard.RECALL > 1 - (1 - 0.8 ** (plain + 1)) ** jaccard.TREES
+    assert jaccard.shorten({5: 10_000}, 0.8) == plain and jaccard.shorten({5: 10_000}, 0.99) == jaccard.DEPTH
+    assert jaccard.shorten({5: 900, 4: 90, 3: 10}, 0.8) == 3 and jaccard.shorten({5: 900, 0: 1}, 0.8) == 1
 
 
 def test_components_of_paths_and_hubs(spark):
