@@ -3,7 +3,8 @@
 Every letter has a random vector of +1 and -1. An n-gram is bound from its letters' vectors, each
 rotated by its place, by multiplying them; a text is the sum of its n-grams' vectors, a language
 the sum of its texts. The language whose vector has the largest cosine with a text's is
-predicted. Other characters than letters only separate words.
+predicted. Other characters than letters only separate words, and a word's n-grams hold the gaps
+before and after it.
 
 Cases: a text that is null or has no letter is ``und`` with score 0, and so are all if nothing
 was learned; rows with a null language or text teach nothing; equal cosines go to the language
@@ -29,41 +30,46 @@ SHARPNESS = 20.0
 MAX_LANGUAGES = 4096
 
 _letter: dict[int, bool] = {}
+_MARKS = {0: " ", 1: " "}
 
 
 def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of the lower-cased letters, words apart by one 0, and each one's text."""
-    joined = "\x00".join([*texts, ""]).lower()
+    """Code points of the lower-cased letters, with one 0 before, between and after a text's words, and each one's text."""
+    joined = "".join(f"\x00{t}\x01" for t in texts).lower()
     points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     some, back = np.unique(points, return_inverse=True)
     for c in some.tolist():
         if c not in _letter:
             _letter[c] = unicodedata.category(chr(c))[0] == "L"
-    row = np.cumsum(points == 0) - (points == 0)
+    row = np.cumsum(points == 0) - 1
     points = np.where(np.array([_letter[c] for c in some.tolist()], bool)[back], points, np.uint32(0))
     keep = (points != 0) | np.concatenate([[True], (points[:-1] != 0) | (row[1:] != row[:-1])])
     return points[keep], row[keep]
 
 
-def gram_counts(texts: list[str], gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, n-gram number and count of each text's n-grams, and the n-grams' code points."""
-    points, row = _symbols([t.replace("\x00", " ") for t in texts])
+def gram_counts(texts: list[str], gram: int = GRAM, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, n-gram number and count of each text's n-grams, and the n-grams' code points. Keys stay below ``most``."""
+    points, row = _symbols([t.translate(_MARKS) for t in texts])
     alphabet, code = np.unique(points, return_inverse=True)
-    size = len(alphabet)
-    if size ** gram * max(1, len(texts)) >= 1 << 62:
-        raise ValueError("too many kinds of letters in one batch")
-    # a word starts and ends with the separator
-    key = np.zeros(max(0, len(code) - gram + 1), np.int64)
-    for k in range(gram):
-        key = key * size + code[k : k + len(key)]
-    one = row[: len(key)] == row[gram - 1 :][: len(key)]
-    middle = np.zeros(len(key), bool)
-    for k in range(gram):
-        middle |= points[k : k + len(key)] != 0
-    pairs, counts = np.unique((row[: len(key)] * size**gram + key)[one & middle], return_counts=True)
-    grams, number = np.unique(pairs % size**gram, return_inverse=True)
-    letters = np.stack([alphabet[grams // size ** (gram - 1 - k) % size] for k in range(gram)], 1) if len(grams) else np.zeros((0, gram), np.uint32)
-    return pairs // size**gram, number, counts, letters
+    n = max(0, len(code) - gram + 1)
+    key, upto = code[:n].astype(np.int64), max(1, len(alphabet))
+    middle = points[:n] != 0
+    for k in range(1, gram):
+        if upto * len(alphabet) >= most:  # many kinds of letters: number the beginnings that there are
+            some, key = np.unique(key, return_inverse=True)
+            upto = len(some)
+        key, upto = key * len(alphabet) + code[k : k + n], upto * len(alphabet)
+        middle |= points[k : k + n] != 0
+    at = np.flatnonzero((row[:n] == row[gram - 1 :][:n]) & middle)
+    if upto * max(1, len(texts)) >= most:
+        some, key[at] = np.unique(key[at], return_inverse=True)
+        upto = max(1, len(some))
+    # the first place of each pair tells its letters
+    pairs, first, counts = np.unique(row[at] * upto + key[at], return_index=True, return_counts=True)
+    grams, one, number = np.unique(pairs % upto, return_index=True, return_inverse=True)
+    place = at[first[one]]
+    letters = np.stack([points[place + k] for k in range(gram)], 1) if len(grams) else np.zeros((0, gram), np.uint32)
+    return pairs // upto, number, counts, letters
 
 
 def vectors(letters: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
