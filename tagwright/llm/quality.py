@@ -7,7 +7,8 @@ signal; a logistic curve, fitted on labelled documents that the dictionaries hav
 makes a probability of it.
 
 Cases: null and empty texts get the labels' mean; a label without a document, or null, isn't used;
-a document with several labels counts once for each; where a class has no labelled text, its
+a document with several labels counts once for each, one with several texts by the first in
+order; where a class has no labelled text, its
 dictionary is empty and every score is near the labels' mean (0.5 without labels).
 """
 
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tagwright.llm.kernels import buffers
+from tagwright.llm.storage import materialise
 
 #: The fit is on a sample: so many labelled documents of each class for the dictionaries, and
-#: as many for the calibration, none longer than MAX_CHARS. They go to the driver: 64 MB at most.
+#: as many for the calibration, none longer than MAX_CHARS. They go to the driver: 4 * SAMPLE texts at most.
 SAMPLE = 1500
 MAX_CHARS = 16_384
 DICTIONARY = 112_640
@@ -105,10 +107,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_chars: int
     marked = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     order = F.xxhash64("doc_id")
     ids = [marked.where(F.col("quality") == k).orderBy(order, "doc_id").limit(2 * sample) for k in (0, 1)]
-    some = F.broadcast(ids[0].unionByName(ids[1]))  # 4 * sample rows at most
+    some = F.broadcast(materialise(ids[0].unionByName(ids[1]), "labelled"))  # 4 * sample rows at most
     texts = docs.select("doc_id", "text").where(F.length("text").between(1, max_chars))
     found: list[list[bytes]] = [[], []]
-    for r in sorted(texts.join(some, "doc_id").select("quality", order.alias("h"), "doc_id", "text").collect(), key=lambda r: (r["h"], r["doc_id"], r["text"])):
+    # one text of each document, so that repeated rows neither count more nor fill the driver
+    one = texts.join(some.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    for r in sorted(one.join(some, "doc_id").select("quality", order.alias("h"), "doc_id", "text").collect(), key=lambda r: (r["h"], r["doc_id"], r["text"])):
         found[r["quality"]].append(r["text"].encode())
     rows = {(k, part): found[k][part::2] for k in (0, 1) for part in (0, 1)}
     good, bad = (_dictionary(rows[k, 0], BLOCK, DICTIONARY) for k in (1, 0))
