@@ -1,11 +1,14 @@
+import itertools
 import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from tagwright.llm import language, maxent, quality
@@ -43,6 +46,52 @@ def test_language(spark, rows):
     assert [got[k].lang_pred for k in (1000, 1001, 1002, 1003, 1004)] == ["und", "und", "und", "xa", "yb"]
 
 
+def plain_cosines(texts, prototypes=None):
+    """Each text's vector, letter by letter, or its cosines with prototypes."""
+    def letter(c):
+        return language.vectors(np.array([[c]], np.uint32))[0].astype(float)
+
+    out = []
+    for t in texts:
+        v = np.zeros(language.DIMENSIONS)
+        word = [c if unicodedata.category(c)[0] == "L" else " " for c in t.lower()]
+        s = [ord(c) if c != " " else 0 for c in re.sub(" +", " ", "".join([" ", *word, " "]))]
+        for k in range(len(s) - 2):
+            if any(s[k : k + 3]):
+                v += np.roll(letter(s[k]), 2) * np.roll(letter(s[k + 1]), 1) * letter(s[k + 2])
+        out.append(v)
+    if prototypes is None:
+        return out
+    return [{n: v @ p / np.linalg.norm(v) / np.linalg.norm(p) for n, p in prototypes.items()} if v.any() else None for v in out]
+
+
+def test_language_equals_dense_vectors(spark):
+    train = [("bado kilu, Baki!", "xa"), ("lu", "xa"), ("rén\x00sto gra", "yb"), ("é", "yb"), ("vim1vim", "yb"), (None, "xa"), ("12", "xa")]
+    tests = ["a", "é", "I", "a!", "中", "bad", "rensto", "\x01lu\x00", "", "7", "ba do" * 50, "İx"]
+    model = language.learn(spark.createDataFrame(train, "text string, lang string"))
+    for name in ("xa", "yb"):
+        assert np.allclose(model[name], sum(plain_cosines([t for t, x in train if x == name and t])))
+    docs = spark.createDataFrame(list(enumerate(tests)), "doc_id long, text string")
+    got = {r.doc_id: r for r in language.predict(docs, model, ["doc_id"]).collect()}
+    for k, c in enumerate(plain_cosines(tests, model)):
+        if c is None:
+            assert (got[k].lang_pred, got[k].score) == ("und", 0.0)
+        else:
+            assert c[got[k].lang_pred] >= max(c.values()) - 1e-6 and got[k].lang_pred != "und"
+            soft = 1 / sum(math.exp(language.SHARPNESS * (x - c[got[k].lang_pred])) for x in c.values())
+            assert abs(got[k].score - soft) < 1e-4
+
+
+def test_alphabets_of_any_size():
+    rng = random.Random(2)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(rng.randrange(0, 9))) + " ab" for _ in range(300)]
+    def told(found):
+        row, number, counts, letters = found
+        return sorted((int(r), *letters[k].tolist(), int(c)) for r, k, c in zip(row, number, counts, strict=True))
+    whole = told(language.gram_counts(texts))
+    assert told(language.gram_counts(texts, most=1 << 20)) == told(language.gram_counts(texts, most=1 << 24)) == whole
+
+
 def test_language_without_training(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     (r,) = language.predict(docs, language.learn(docs), ["doc_id"]).collect()
@@ -72,6 +121,38 @@ def test_quality(spark, rows):
     assert kept == {i for i, x in got.items() if x >= 0.3} | {1000}
 
 
+def test_quality_equals_compressing_text_by_text(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows] + [(1000, None), (1001, ""), (1002, "é" * 3000)], "doc_id long, text string")
+    model = quality.fit(docs, spark.createDataFrame([(i, q) for i, _, _, q in rows if i % 3], "doc_id long, quality int"))
+    sides = []
+    for dictionary in (model.good, model.bad):
+        known = zstandard.ZstdCompressionDict(dictionary)
+        sides.append(lambda x, known=known: len(zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=known, write_content_size=False, write_dict_id=False).compress(x)))
+    for r in quality.score(docs, model).collect():
+        text = (r.text or "").encode()
+        parts = [text[k : k + quality.BLOCK] for k in range(0, len(text), quality.BLOCK)]
+        good, bad = (sum(map(side, parts)) for side in sides)
+        x = (bad - good) / len(text) if text else 0.0
+        knots = list(zip(model.signals, model.scores, strict=True))
+        if x <= knots[0][0]:
+            y = knots[0][1]
+        elif x >= knots[-1][0]:
+            y = knots[-1][1]
+        else:
+            (a, p), (b, q) = next((u, v) for u, v in itertools.pairwise(knots) if u[0] <= x < v[0])
+            y = p + (q - p) * (x - a) / (b - a)
+        want = (len(text) * y + quality.SHRINK * model.mean) / (len(text) + quality.SHRINK)
+        assert abs(r.quality_score - want) < 1e-9, r.doc_id
+
+
+def test_quality_of_repeated_documents(spark, rows):
+    """Repeated rows teach nothing new and don't come to the driver."""
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, _, q in rows], "doc_id long, quality int")
+    again = docs.unionByName(docs.where("doc_id = 8").crossJoin(spark.range(3000)).select("doc_id", "text"))
+    assert quality.fit(again, labels) == quality.fit(docs, labels)
+
+
 def test_quality_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
     model = quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int"))
@@ -107,17 +188,94 @@ def test_maxent_counts_and_probabilities(spark, rows):
     assert sum(r.score for r in held) > 0.95 * sum(r.base_score for r in held)
 
 
-def test_maxent_sums_to_one(spark, rows):
+MASK = (1 << 64) - 1
+
+
+def plain_mix(h):
+    h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) & MASK
+    h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) & MASK
+    return h ^ (h >> 31)
+
+
+def plain_chances(model, one, two):
+    """The chance of every leaf after the leaves ``one`` and ``two``, by walking the whole tree in plain Python."""
+    found = [plain_mix((one + 1) & MASK), plain_mix((one * 3 + plain_mix(two)) & MASK), plain_mix((two * 5 + 2) & MASK)]
+    kept = {}
+
+    def node_chances(node):
+        if node not in kept:
+            x = [float(v) for v in model.leaves.shares[node]]
+            for f in found:
+                row = plain_mix((f + node * 0x9E3779B97F4A7C15) & MASK) % len(model.values)
+                x = [a + float(b) for a, b in zip(x, model.values[row], strict=True)]
+            e = [math.exp(min(v, 60)) for v in x]
+            kept[node] = [v / sum(e) for v in e]
+        return kept[node]
+
+    out = []
+    for nodes, children in zip(model.leaves.nodes.tolist(), model.leaves.children.tolist(), strict=True):
+        p = 1.0
+        for node, child in zip(nodes, children, strict=True):
+            p *= node_chances(node)[child] if node >= 0 else 1.0
+        out.append(p)
+    return out
+
+
+def vocabulary_of(model):
+    return {int(h): (int(t), int(c)) for r in model.vocabulary.collect() for h, t, c in zip(np.frombuffer(r.h, np.uint64), np.frombuffer(r.tail, np.uint16), np.frombuffer(r.c, np.uint64), strict=True)}
+
+
+def test_maxent_equals_a_dense_model(spark):
+    rng = random.Random(3)
+    names = [f"w{k}" for k in range(20)]
+    rows = [(k, " ".join(rng.choices(names, range(1, 21), k=rng.randrange(1, 60)) + (["rare%d" % k] if k % 9 == 0 else []))) for k in range(150)]
+    docs = spark.createDataFrame([(i, t, i % 5 == 0) for i, t in rows] + [(900, "w1 never seen", True)], "doc_id long, text string, held_out boolean")
+    model = maxent.fit(docs.where("not held_out"))
+    known = vocabulary_of(model)
+    assert sum(c for _, c in known.values()) == model.n and len(known) == model.kinds
+    got = {r.doc_id: r.score for r in maxent.score(docs, model).collect()}
+    dense = {}
+    for i, t in [*rows[::10], (900, "w1 never seen")]:
+        h, tail, row = maxent.words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))
+        leaf, place = model.leaves.of(h, tail)
+        before, total = [int(maxent.START)] * 2, 0.0
+        for x, k, own in zip(h.tolist(), leaf.tolist(), place.tolist(), strict=True):
+            if tuple(before) not in dense:
+                dense[tuple(before)] = plain_chances(model, before[-1], before[-2])
+                assert math.isclose(sum(dense[tuple(before)]), 1, abs_tol=1e-6)
+            inside = 1.0 if own >= 0 else (known.get(x, (0, 0))[1] + maxent.ALPHA) / 10 ** model.leaves.norm[k]
+            total += math.log10(dense[tuple(before)][k] * inside)
+            before = [before[-1], k]
+        assert math.isclose(got[i], total, rel_tol=1e-4), i
+
+
+def test_maxent_leaves_share_all_tokens(spark, rows):
     model = maxent.fit(spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string"))
-    work = maxent.Weights(model.n_leaves, model.arrays)
-    h, tail, row = maxent.words(np.frombuffer(b"bado kilu xx", np.uint8), np.array([0, 12]))
-    found = maxent.features(h, row)
-    total = sum(10 ** work.log10(np.full(len(h), leaf), found) for leaf in range(model.n_leaves))
-    assert np.allclose(total, 1, atol=1e-4)
-    # within the shared leaves: seen words and one unseen word each
-    known = model.vocabulary.join(spark.createDataFrame([(int(x),) for x in model.leaves.head.view(np.int64)], "h long"), "h", "left_anti").collect()
-    share = sum(r.c + maxent.ALPHA for r in known) + maxent.ALPHA * model.leaves.shared.sum()
-    assert math.isclose(share, (10 ** model.leaves.norm[model.leaves.shared]).sum(), rel_tol=1e-9)
+    known = vocabulary_of(model)
+    h = np.array(sorted(known), np.uint64)
+    tail, c = (np.array([known[int(x)][k] for x in h]) for k in (0, 1))
+    leaf, place = model.leaves.of(h, tail)
+    shared = model.leaves.norm != 0
+    for k in range(len(model.leaves.norm)):
+        at = (leaf == k) & (place < 0)
+        if at.any():
+            assert math.isclose(10 ** model.leaves.norm[k], (c[at] + maxent.ALPHA).sum() + maxent.ALPHA, rel_tol=1e-9)
+    assert (c[place < 0] <= c[place >= 0].min()).all() and shared[leaf[place < 0]].all()
+
+
+def test_maxent_grows_with_the_corpus():
+    sizes = [maxent._size(n, maxent.ROWS_PER_ROOT, maxent.ROWS) for n in (0, 10**6, 10**8, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == maxent.ROWS[0] < sizes[2] < sizes[3]
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 16, 17, 300, 5000):
+        mass = rng.zipf(1.3, n).clip(1, 10**6).astype(float)
+        nodes, children, shares = maxent.tree(mass)
+        assert len({tuple(zip(a, b, strict=True)) for a, b in zip(nodes.tolist(), children.tolist(), strict=True)}) == n
+        chance = np.ones(n)
+        for k in range(nodes.shape[1]):
+            chance *= np.where(nodes[:, k] >= 0, np.exp(shares[nodes[:, k], children[:, k]]), 1)
+        assert np.allclose(chance, mass / mass.sum(), rtol=1e-4)
+        assert (children < maxent.WIDTH).all()
 
 
 def test_maxent_without_training(spark):
