@@ -28,10 +28,11 @@ from tagwright.llm.storage import materialise, release
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 DAMPING = 0.85
-ROUNDS = 30
-#: Rounds between two looks at the largest change, and the change at which to stop.
+#: Rounds between two looks at the largest change, and the change, as a share of a score and a seed's restart, at which to stop.
 STEP = 5
-TOLERANCE = 1e-4
+TOLERANCE = 1e-3
+#: More rounds than any graph needs: changes fall by DAMPING a round, whatever the number of hosts.
+MOST_ROUNDS = 1000
 #: The least share of blame of a blocked host.
 LEAST = 0.05
 RATIO = 2.0
@@ -70,7 +71,7 @@ def edges(pages: DataFrame) -> DataFrame:
 SCORES = (("trust", "t", "trust"), ("distrust", "d", "distrust"), ("all_trust", "t", None), ("blame", "b", "distrust"), ("all_blame", "b", None))
 
 
-def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
+def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust, all_trust, blame, all_blame) from ``seeds(host, trust, distrust)`` and ``links(source, target, n)``."""
     given = links.join(links.groupBy("source").agg(F.sum("n").alias("out")), "source").join(links.groupBy("target").agg(F.sum("n").alias("in")), "target")
     none = F.lit(0.0)
@@ -83,16 +84,16 @@ def propagate(seeds: DataFrame, links: DataFrame, damping: float = DAMPING, roun
     ranks = materialise(base.select("host", *(F.col(f"s_{c}").alias(c) for c, *_ in SCORES)), "ranks")
     if ways.isEmpty():
         return ranks
-    for k in range(1, rounds + 1):
+    for k in range(1, MOST_ROUNDS + 1):
         got = ways.join(ranks, "host").groupBy(F.col("to").alias("host")).agg(*(F.sum(F.col(way) * F.col(c)).alias(f"g_{c}") for c, way, _ in SCORES))
         new = base.join(got, "host", "left").select("host", *((F.col(f"s_{c}") + damping * F.coalesce(f"g_{c}", F.lit(0.0))).alias(c) for c, *_ in SCORES))
         before, ranks = ranks, materialise(new, "ranks")
-        change = F.greatest(*(F.abs(F.col(c) - F.col(f"0_{c}")) for c, *_ in SCORES))
-        done = k % STEP == 0 and (ranks.join(before.toDF("host", *(f"0_{c}" for c, *_ in SCORES)), "host").agg(F.max(change)).first()[0] or 0) < TOLERANCE
+        change = F.greatest(*(F.abs(F.col(c) - F.col(f"0_{c}")) / (F.col(c) + (1 - damping)) for c, *_ in SCORES))
+        done = k % STEP == 0 and (ranks.join(before.toDF("host", *(f"0_{c}" for c, *_ in SCORES)), "host").agg(F.max(change)).first()[0] or 0) < tolerance
         release(before)
         if done:
-            break
-    return ranks
+            return ranks
+    raise RuntimeError(f"ranks didn't settle in {MOST_ROUNDS} rounds")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, least: float = LEAST, ratio: float = RATIO) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 
 from tagwright.llm import urls
@@ -64,5 +67,67 @@ def test_ranks_equal_the_matrix_form(spark):
         assert np.allclose([got[f"h{i}"][k] for i in range(n)], want, atol=5e-3)
 
 
+def test_long_chains_settle(spark):
+    """Trust comes to the end of a chain, and to that of a ring, whatever the number of rounds this takes."""
+    n = 45
+    links = [(f"h{k:02d}", f"h{k + 1:02d}", 1) for k in range(n)] + [("r0", "r1", 1), ("r1", "r0", 1)]
+    seeds = [("h00", 1.0, 0.0), ("r0", 1.0, 0.0)]
+    got = {r.host: r for r in urls.propagate(spark.createDataFrame(seeds, "host string, trust double, distrust double"), spark.createDataFrame(links, "source string, target string, n long")).collect()}
+    for k in range(n + 1):
+        assert abs(got[f"h{k:02d}"].trust / (0.15 * 0.85**k) - 1) < 0.01 or 0.15 * 0.85**k < 1e-3, k
+    assert abs(got["r0"].trust / (0.15 / (1 - 0.85**2)) - 1) < 0.02
+
+
+def brute_verdicts(pages, damping=0.85):
+    """Verdicts by hand: rules, seeds, links and ranks as matrices."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def split(url):
+        if url is None or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        return host.translate(low), re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+
+    told, seen, links = [], {}, {}
+    for _, url, html in pages:
+        host, path = split(url)
+        fit = [(len(h + p), v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        told.append((host, max(fit)[1] if fit else None))
+        if host:
+            seen.setdefault(host, []).append(told[-1][1])
+            for to in re.findall(r'href="([^"]*)"', html or ""):
+                other = split(to)[0]
+                if other and other != host:
+                    links[host, other] = links.get((host, other), 0) + 1
+    names = sorted({*seen, *(h for pair in links for h in pair)})
+    at = {h: k for k, h in enumerate(names)}
+    w = np.zeros((len(names), len(names)))
+    for (a, b), n in links.items():
+        w[at[a], at[b]] = n
+    out = np.divide(w, w.sum(1, keepdims=True), where=w.sum(1, keepdims=True) > 0, out=np.zeros_like(w))
+    seed = {v: np.array([seen.get(h, [None]).count(v) / len(seen.get(h, [None])) for h in names]) for v in ("allow", "block")}
+    solve = lambda m, s: np.linalg.solve(np.eye(len(names)) - damping * m, (1 - damping) * s)
+    one = np.ones(len(names))
+    trust, blame = solve(out.T, seed["allow"]) / solve(out.T, one), solve(out, seed["block"]) / solve(out, one)
+    bad = (blame >= urls.LEAST) & (blame > urls.RATIO * trust)
+    return [v or ("block" if h and bad[at[h]] else "allow") for h, v in told]
+
+
+def test_verdicts_equal_the_matrix_form(spark):
+    rng = random.Random(6)
+    hosts = [f"h{k}.net" for k in range(14)] + ["bad.com", "a.example.org", "fr.com"]
+    paths = {"bad.com": "/de/1", "a.example.org": "/es/2", "fr.com": "/fr/3"}
+    url = lambda h: f"http://{h}{paths.get(h, '/x')}"
+    pages = []
+    for k in range(40):
+        h = hosts[k % len(hosts)]
+        pages.append((k, url(h), "".join(f'<a href="{url(rng.choice(hosts))}">y</a>' for _ in range(rng.randrange(0, 4)))))
+    pages += [(100, None, ""), (101, "", None), (102, "http://bad.com/", None), pages[3]]
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).select("page_id", "verdict").collect()
+    want = sorted(zip([p[0] for p in pages], brute_verdicts(pages), strict=True))
+    assert sorted(map(tuple, got)) == want and {v for _, v in want} == {"allow", "block"}
+
+
 def test_empty_table(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
