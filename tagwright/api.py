@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Mapping, Sequence
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame
 
 from tagwright.functions.patterns import is_wildcard
 from tagwright.operators import boolean, exclude, paging, stats, validate, wildcard
 from tagwright.plans.engine import Engine
-from tagwright.plans.query import ALL, TagQuery, bool_param, text_param
+from tagwright.plans.query import ALL, OPERATORS, TagQuery, bool_param, text_param
 
 log = logging.getLogger(__name__)
 
@@ -66,7 +68,29 @@ class Api:
         return wildcard.expand(self.engine, self.default_patterns).orderBy("tag")
 
     def coverage(self) -> DataFrame:
-        return exclude.coverage(self.engine, self._excluded())
+        return exclude.pattern_coverage(self.engine, self.default_patterns)
 
     def info(self) -> dict:
-        return {"total_questions": self._total(ALL), "top_tags": stats.extreme_tags(self.engine), "bottom_tags": stats.extreme_tags(self.engine, most=False)}
+        top = stats.extreme_tags(self.engine)
+        some = [r["tag"] for r in top.limit(2).collect()]
+        return {"total_questions": self._total(ALL), "top_tags": top, "bottom_tags": stats.extreme_tags(self.engine, most=False), "messages": list(self.engine.messages), "sample_urls": sample_urls(*some) if len(some) == 2 else []}
+
+
+def sample_urls(a: str, b: str) -> list[str]:
+    """Requests to try: a page of a tag, and each operator on two tags."""
+    one, two = quote(a, safe=""), quote(b, safe="")
+    pages = [f"/api/Tags/{one}?type={kind}&pageSize=25&skip=0" for kind in ("Score", "ViewCount", "CreationDate")]
+    return pages + [f"/api/Query/{one}?type=ViewCount&otherTag={two}&operator={op}&useDefaultExclusions=true" for op in OPERATORS]
+
+
+def respond(out: object) -> str:
+    """A response as JSON text. Tables in it are pages or lists of tags; they become arrays of objects."""
+
+    def plain(x: object) -> object:
+        if isinstance(x, DataFrame):
+            return [json.loads(r) for r in x.toJSON().collect()]
+        if isinstance(x, Mapping):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, (list, tuple)) else x
+
+    return json.dumps(plain(out), ensure_ascii=False)

@@ -12,15 +12,19 @@ def is_wildcard(pattern: str) -> bool:
     return "*" in pattern
 
 
-def matches(tag: Column, pattern: str) -> Column:
-    """``*x*`` contains, ``x*`` begins, ``*x`` ends with x, where x is the pattern without any star; a star only inside matches nothing; without a star, equality."""
-    raw = F.lit(pattern.replace("*", ""))
+def kind(pattern: str) -> tuple[str, str]:
+    """What a pattern asks of a tag, and the text it asks for: ``*x*`` contains, ``x*`` begins, ``*x`` ends with x, where x is the pattern without any star; a star only inside asks for what no tag has; without a star, the tag equals it."""
+    raw = pattern.replace("*", "")
     if not is_wildcard(pattern):
-        return tag == F.lit(pattern)
+        return "equals", pattern
     first, last = pattern.startswith("*"), pattern.endswith("*")
-    if first and last:
-        return F.contains(tag, raw)
-    return F.startswith(tag, raw) if last else F.endswith(tag, raw) if first else F.lit(False)
+    return {(True, True): "contains", (False, True): "begins", (True, False): "ends"}.get((first, last), "none"), raw
+
+
+def matches(tag: Column, pattern: str) -> Column:
+    what, text = kind(pattern)
+    test = {"equals": lambda t, x: t == x, "contains": F.contains, "begins": F.startswith, "ends": F.endswith}.get(what)
+    return test(tag, F.lit(text)) if test else F.lit(False)
 
 
 def regex(pattern: str) -> str:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagwright.functions.columns import order, sort_key
 from tagwright.plans.engine import Engine
 from tagwright.plans.query import Sort, TagQuery
+from tagwright.plans.shared import written
 
 
 def page(rows: DataFrame, sort: Sort, skip: int, size: int) -> DataFrame:
@@ -39,15 +40,19 @@ def lookup(engine: Engine, id_: int) -> DataFrame:
 def ranked(rows: DataFrame, by: list[Column], name: str = "rank") -> DataFrame:
     """Rows with their place, from 1, in an order over all of them.
 
-    Rows are dealt into ranges of the order and numbered within each; a range's start is the sum of the
-    sizes before it. No task sees more than its range, as it would with a window over everything.
+    Rows are dealt into ranges of the order, sorted and numbered there and written once; a range's start is
+    the sum of the sizes before it. One shuffle, and no task sees more than its range, as it would with a
+    window over everything. Ranges are fixed by what is written: a plan that dealt the rows anew for the sizes
+    could deal them otherwise.
     """
-    pid, key = f"_pid_{uuid.uuid4().hex[:8]}", f"_at_{uuid.uuid4().hex[:8]}"
-    dealt = rows.repartitionByRange(*by).withColumn(pid, F.spark_partition_id())
-    own = dealt.withColumn(key, F.row_number().over(Window.partitionBy(pid).orderBy(*by)))
-    sizes = dealt.groupBy(pid).agg(F.count("*").alias("_n"))
-    starts = sizes.select(pid, F.coalesce(F.sum("_n").over(Window.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # a row per range
-    return own.join(starts, pid).withColumn(name, (F.col(key) + F.col("_before")).cast("long")).drop(pid, key, "_before")
+    at = f"_at_{uuid.uuid4().hex[:8]}"
+    dealt = written(rows.repartitionByRange(*by).sortWithinPartitions(*by).select("*", F.monotonically_increasing_id().alias(at)), "ranked")
+    range_, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(range_.alias("_range")).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_before"))  # a row per range
+    joined = dealt.join(F.broadcast(starts), range_ == F.col("_range"))
+    return joined.withColumn(name, (F.col("_before") + place + 1).cast("long")).drop(at, "_range", "_before")
 
 
 def top_views(engine: Engine, n: int = 100) -> DataFrame:

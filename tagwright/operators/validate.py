@@ -7,17 +7,35 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwright.functions.columns import sort_key, tokenize
+from tagwright.functions.columns import order, sort_key, tokenize
 from tagwright.operators.exclude import excluded_ids
+from tagwright.operators.paging import ranked
 from tagwright.plans.engine import Engine
 from tagwright.plans.query import ALL, Sort, TagQuery
 
 
+#: Places of a list that one task looks at.
+STRETCH = 1 << 16
+
+
 def order_violations(pages: DataFrame, sort: Sort, by: str | None = None) -> DataFrame:
-    """Rows of ``pages(pos, ...)`` whose sort value exceeds that of the row before, within each ``by``."""
-    w = Window.partitionBy(by).orderBy("pos") if by else Window.orderBy("pos")
-    before = F.lag("sort_value").over(w)
-    return pages.withColumn("before", before).where(F.col("sort_value") > F.col("before"))
+    """Rows of ``pages(pos, ...)`` whose sort value exceeds that of the row before, within each ``by``.
+
+    A list is looked at in stretches of places, each with the last row of the one before, so a long list isn't one task's.
+    """
+    own = F.floor(F.col("pos") / STRETCH)
+    laid = pages.withColumn("_stretch", F.explode(F.array_distinct(F.array(own, F.floor((F.col("pos") + 1) / STRETCH)))))
+    w = Window.partitionBy(*([by] if by else []), "_stretch").orderBy("pos")
+    told = laid.withColumn("before", F.lag("sort_value").over(w))
+    return told.where((F.col("sort_value") > F.col("before")) & (F.col("_stretch") == own)).drop("_stretch")
+
+
+def numbered(engine: Engine, sort: Sort) -> DataFrame:
+    """(tag, pos, id, sort_value): every posting list in its order, with places from 1. One shuffle by ranges of (tag, order), whatever the longest list."""
+    rows = engine.post_tags.select("tag", "id", sort.column)
+    placed = ranked(rows, [F.col("tag"), *order(sort)], "_rank")
+    first = placed.groupBy("tag").agg(F.min("_rank").alias("_first"))
+    return placed.join(first, "tag").select("tag", (F.col("_rank") - F.col("_first") + 1).alias("pos"), "id", sort_key(sort).alias("sort_value"))
 
 
 def list_violations(engine: Engine, sort: Sort) -> DataFrame:

@@ -82,6 +82,9 @@ def _register_pages() -> None:
     register("top100_views", paging.top_views, "SELECT row_number() OVER (ORDER BY view_count DESC NULLS LAST, id DESC) AS pos, id, CAST(view_count AS BIGINT) AS view_count FROM posts ORDER BY pos LIMIT 100")
     register("point_lookup", lambda e: paging.lookup(e, 77).select("id", "title", "view_count"), "SELECT id, title, view_count FROM posts WHERE id = 77")
     register("tag_sample", lambda e: paging.sample(e.tag_counts, [F.desc("n"), F.col("tag")], 10), "SELECT tag, n FROM (SELECT tag, n, row_number() OVER (ORDER BY n DESC, tag) AS r, count(*) OVER () AS c FROM tag_counts) WHERE (r - 1) % greatest(1, c // 10) = 0 ORDER BY r LIMIT 10")
+    wide = lambda e: paging.ranked(e.posts, C.order(Sort.SCORE)).select("id", "title", "view_count", "rank")
+    register("global_rank_wide", wide, "SELECT id, title, view_count, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id DESC) AS rank FROM posts")
+    register("post_sample", lambda e: paging.sample(e.posts, C.order(Sort.VIEWS), 1000).drop("raw_tags"), "SELECT id, title, creation_date, last_activity_date, score, view_count, answer_count, accepted_answer_id FROM (SELECT *, row_number() OVER (ORDER BY coalesce(view_count, -1) DESC, id DESC) AS r, count(*) OVER () AS c FROM posts) WHERE (r - 1) % greatest(1, c // 1000) = 0 ORDER BY r LIMIT 1000")
     register("global_rank", lambda e: paging.ranked(e.posts, C.order(Sort.SCORE)).select("id", "rank"), "SELECT id, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id DESC) AS rank FROM posts")
 
 
@@ -99,6 +102,14 @@ def _register_boolean() -> None:
             register(f"{name}_counters{suffix}", lambda e, q=q: boolean.counters(e, q), counters_sql(q))
 
 
+def _register_grid() -> None:
+    """The paging grid: every operator at every skip."""
+    for op, name in (("AND", "and"), ("AND-NOT", "andnot"), ("OR", "or"), ("OR-NOT", "ornot")):
+        for skip in (100, 500, 2000, 8000):
+            q = TagQuery("hot", Sort.LAST_ACTIVITY, 25, skip, "red", op, ("brand#13",))
+            register(f"grid_{name}_{skip}", lambda e, q=q: boolean.run(e, q), page_sql(q.sort, members(q) + not_excluded(q.exclusions), skip, 25))
+
+
 def walk_sql(q: TagQuery) -> str:
     key = KEYS[q.sort]
     rank = lambda where: f"SELECT id, row_number() OVER (ORDER BY {key} DESC, id DESC) AS r FROM posts WHERE {where}"
@@ -152,12 +163,42 @@ def _register_exclusion() -> None:
     for k in (1, 3, 6, 12, 25):
         tags = tuple(f"brand#{i}" for i in range(1, k + 1))
         register(f"excl_scaling_{k}", lambda e, tags=tags: paging.tag_page(e, TagQuery("hot", Sort.SCORE, 50, exclusions=tags)), page_sql(Sort.SCORE, tag_in("hot") + not_excluded(tags), 0, 50))
+    for k in (50, 400, 1600, 6400):  # names that few posts or none have, as most of a long list
+        tags = ("brand#13", "brand#24", "brand#31", *(f"made-up-{i}" for i in range(k - 3)))
+        register(f"excl_scaling_{k}", lambda e, tags=tags: paging.tag_page(e, TagQuery("hot", Sort.SCORE, 50, exclusions=tags)), page_sql(Sort.SCORE, tag_in("hot") + not_excluded(tags), 0, 50))
+    register("excl_pattern_coverage", lambda e: exclude.pattern_coverage(e, ("brand#1*", "*-specified", "hot", "nosuch")), """SELECT CAST(4 AS BIGINT) AS n_patterns, CAST(2 AS BIGINT) AS n_wildcards, n_expanded, n_posts, n_excluded, n_posts - n_excluded AS n_included, n_tags - n_expanded AS n_remaining FROM (
+SELECT (SELECT count(*) FROM posts) AS n_posts, (SELECT count(*) FROM tag_counts) AS n_tags,
+       (SELECT count(*) FROM tag_counts WHERE starts_with(tag, 'brand#1') OR suffix(tag, '-specified') OR tag = 'hot') AS n_expanded,
+       (SELECT count(DISTINCT id) FROM post_tags WHERE starts_with(tag, 'brand#1') OR suffix(tag, '-specified') OR tag = 'hot') AS n_excluded)""")
 
 
 def _pattern_sql(tests: dict[str, str]) -> str:
     return " UNION ALL ".join(f"SELECT '{p}' AS pattern, tag FROM tag_counts WHERE {t}" for p, t in tests.items())
 
 
+def dictionary(n: int = 38_000):
+    """A made dictionary of tags, as an engine without posts and as SQL."""
+
+    def made(e: Engine) -> Engine:
+        k = F.col("id")
+        return Engine(e.posts, e.post_tags, e.posts.sparkSession.range(n).select(F.concat(F.lit("tag-"), F.lower(F.conv(k * 7919 % 1_000_003, 10, 36)), F.when(k % 3 == 0, "-api").when(k % 3 == 1, "").otherwise(".js")).alias("tag"), F.lit(1).cast("long").alias("n")))
+
+    digits = "'0123456789abcdefghijklmnopqrstuvwxyz'"
+    base = "ltrim(" + " || ".join(f"substr({digits}, CAST(v // {36**i} % 36 AS INTEGER) + 1, 1)" for i in (3, 2, 1, 0)) + ", '0')"
+    return made, f"SELECT 'tag-' || CASE WHEN v = 0 THEN '0' ELSE {base} END || CASE k % 3 WHEN 0 THEN '-api' WHEN 1 THEN '' ELSE '.js' END AS tag FROM (SELECT range AS k, range * 7919 % 1000003 AS v FROM range({n}))"
+
+
+def long_list(n: int = 2_500):
+    """Made patterns, three of four with stars, as a list and as SQL."""
+    digits = "0123456789abcdefghijklmnopqrstuvwxyz"
+    text = lambda k: digits[k * 31 % 36] + digits[k * 17 // 36 % 36] + digits[k % 36]
+    listed = [(f"*{text(k)}*", f"tag-{text(k)}*", f"*{text(k)}.js", f"tag-{text(k)}")[k % 4] for k in range(n)]
+    d = f"'{digits}'"
+    x = " || ".join(f"substr({d}, CAST({at} % 36 AS INTEGER) + 1, 1)" for at in ("range * 31", "range * 17 // 36", "range"))
+    sql = f"SELECT DISTINCT CASE k % 4 WHEN 0 THEN '*' || x || '*' WHEN 1 THEN 'tag-' || x || '*' WHEN 2 THEN '*' || x || '.js' ELSE 'tag-' || x END AS p FROM (SELECT range AS k, {x} AS x FROM range({n}))"
+    return listed, sql
+
+
 def _register_wildcards() -> None:
     contains = {"brand#1*": "starts_with(tag, 'brand#1')", "*1": "suffix(tag, '1')", "*#2*": "contains(tag, '#2')", "*e*": "contains(tag, 'e')", "s*l": "false", "nosuch*": "starts_with(tag, 'nosuch')", "red": "tag = 'red'", "nosuch": "tag = 'nosuch'"}
     inner = contains | {"s*l": "starts_with(tag, 's') AND suffix(tag, 'l') AND length(tag) >= 2"}
@@ -178,6 +219,17 @@ def _register_wildcards() -> None:
     register("ngram_index", wildcard.gram_index, anchored)
     register("ngram_totals", stats.gram_totals, f"SELECT count(DISTINCT gram) AS n_grams, count(*) AS n_postings FROM ({anchored})")
     register("ngram_candidates", lambda e: wildcard.gram_candidates(e, "*rand*"), f"SELECT tag FROM ({anchored}) WHERE gram IN ('ra', 'an', 'nd') GROUP BY tag HAVING count(*) = 3")
+    made, many = dictionary(), long_list()
+    test = "CASE WHEN p[1] = '*' AND p[-1] = '*' THEN contains(tag, x) WHEN p[-1] = '*' THEN starts_with(tag, x) WHEN p[1] = '*' THEN suffix(tag, x) ELSE tag = x END"
+    many_sql = f"SELECT p AS pattern, tag FROM ({made[1]}) JOIN (SELECT p, replace(p, '*', '') AS x FROM ({many[1]})) ON {test}"
+    for strategy in ("contains", "trie"):
+        register(f"wild_long_{strategy}", lambda e, s=strategy: wildcard.matched(made[0](e), many[0], s), many_sql)
+    register("wild_long_grams", lambda e: wildcard.matched_grams(made[0](e), many[0]), many_sql)
+    register("wild_disagree", lambda e: wildcard.disagreements(e, ("*#2*", "s*l", "brand#1*", "*1", "red", "*e*")), """
+SELECT '*#2*' AS pattern, tag, CASE WHEN contains(tag, '#2') THEN 'contains,grams,regex,trie' ELSE 'like' END AS strategies FROM tag_counts WHERE contains(tag, '#2') <> regexp_matches(tag, '[0-9]2')
+UNION ALL SELECT 's*l', tag, 'like,regex' FROM tag_counts WHERE starts_with(tag, 's') AND suffix(tag, 'l') AND length(tag) >= 2
+UNION ALL SELECT 'brand#1*', tag, CASE WHEN starts_with(tag, 'brand#1') THEN 'contains,grams,regex,trie' ELSE 'like' END FROM tag_counts WHERE starts_with(tag, 'brand#1') <> regexp_matches(tag, '^brand[0-9]1')
+UNION ALL SELECT '*e*', tag, 'contains,like,regex,trie' FROM tag_counts WHERE contains(tag, 'e')""")
     register("wild_agree", lambda e: sets.difference(wildcard.expand(e, grams), wildcard.expand_grams(e, grams)), "SELECT tag, 'a' AS side FROM tag_counts WHERE false")
 
 
@@ -214,15 +266,36 @@ SELECT id, array_to_string(list_sort(list_concat(t, r)), ',') AS "union", array_
 """
 
 
+def spoilt(e: Engine, tag: str = "hot", every: int = 101) -> Engine:
+    """An engine whose list of a tag lacks every so many posts and has wrong scores for others."""
+    off = (F.col("tag") == tag) & (F.col("id") % every == 0)
+    wrong = (F.col("tag") == tag) & (F.col("id") % every == 1)
+    lists = e.post_tags.where(~off).withColumn("score", F.when(wrong, F.coalesce("score", F.lit(0)) + 1000).otherwise(F.col("score")))
+    return Engine(e.posts, lists, e.tag_counts)
+
+
 def _register_bitmaps_and_checks() -> None:
-    register("bitmap_cardinality", lambda e: bitmaps.cardinalities(bitmaps.build(e, Sort.SCORE)), "SELECT tag, n FROM tag_counts")
+    register("bitmap_cardinality", lambda e: bitmaps.cardinalities(bitmaps.index_for(e, Sort.SCORE).bits), "SELECT tag, n FROM tag_counts")
     a, b = tag_in("hot"), tag_in("red")
-    register("bitmap_pairs", lambda e: bitmaps.pair_counts(e, bitmaps.build(e, Sort.VIEWS), "hot", "red"), f"SELECT count(*) FILTER ({a} AND {b}) AS n_and, count(*) FILTER ({a} AND NOT {b}) AS n_and_not, count(*) FILTER ({a} OR {b}) AS n_or, count(*) FILTER ({a} OR NOT {b}) AS n_or_not FROM posts")
-    register("bitmap_mismatches", lambda e: bitmaps.mismatches(e, bitmaps.build(e, Sort.ANSWERS)), "SELECT tag, n, n AS bits FROM tag_counts WHERE false")
+    register("bitmap_pairs", lambda e: bitmaps.pair_counts(bitmaps.index_for(e, Sort.VIEWS), "hot", "red"), f"SELECT count(*) FILTER ({a} AND {b}) AS n_and, count(*) FILTER ({a} AND NOT {b}) AS n_and_not, count(*) FILTER ({a} OR {b}) AS n_or, count(*) FILTER ({a} OR NOT {b}) AS n_or_not FROM posts")
+    for op, name in (("AND", "and"), ("AND-NOT", "andnot"), ("OR", "or"), ("OR-NOT", "ornot")):
+        paged = TagQuery("small", Sort.SCORE, 25, 30, "brand#1", op, EXCLUDED)
+        register(f"bitmap_page_{name}", lambda e, q=paged: bitmaps.page(e, bitmaps.index_for(e, Sort.SCORE), q, Sort.SCORE), page_sql(Sort.SCORE, members(paged) + not_excluded(EXCLUDED), 30, 25))
+        whole = TagQuery("hot", Sort.SCORE, 25, 0, "red", op, ("brand#13",))
+        register(f"bitmap_places_{name}", lambda e, q=whole: bitmaps.positions(bitmaps.index_for(e, Sort.SCORE), q), f"SELECT id, rank FROM (SELECT id, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id DESC) AS rank FROM posts) WHERE {members(whole)}{not_excluded(whole.exclusions)}")
+    register("bitmap_exclusion", lambda e: bitmaps.union(bitmaps.index_for(e, Sort.SCORE).bits, EXCLUDED).agg(F.sum(F.bitmap_count("bits")).alias("n")), f"SELECT count(DISTINCT id) AS n FROM post_tags WHERE tag IN ({', '.join(repr(t) for t in EXCLUDED)})")
+    register("bitmap_mismatches", lambda e: bitmaps.mismatches(spoilt(e).tag_counts, bitmaps.populate(spoilt(e).post_tags, bitmaps.index_for(e, Sort.SCORE).places)), f"SELECT 'hot' AS tag, count(*) AS n, count(*) FILTER (id % 101 <> 0) AS bits FROM posts WHERE {a}")
+    register("bitmap_violations", lambda e: bitmaps.violations(e, bitmaps.BitmapIndex(bitmaps.populate(spoilt(e).post_tags, bitmaps.index_for(e, Sort.SCORE).places), bitmaps.index_for(e, Sort.SCORE).places, e.tag_counts), Sort.SCORE), f"SELECT 'hot' AS tag, rank, 'unset' AS problem FROM (SELECT id, row_number() OVER (ORDER BY coalesce(score, -1) DESC, id DESC) AS rank FROM posts) WHERE {a} AND id % 101 = 0 UNION ALL SELECT 'hot', NULL, 'count'")
+    register("list_order", lambda e: validate.numbered(e, Sort.VIEWS), "SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY coalesce(view_count, -1) DESC, id DESC) AS pos, id, CAST(coalesce(view_count, -1) AS BIGINT) AS sort_value FROM post_tags JOIN posts USING (id)")
+    swapped = lambda e: validate.numbered(e, Sort.VIEWS).withColumn("pos", F.when(F.col("pos") % 1000 == 7, F.col("pos") - 1).when(F.col("pos") % 1000 == 6, F.col("pos") + 1).otherwise(F.col("pos")))
+    register("list_order_violations", lambda e: validate.order_violations(swapped(e), Sort.VIEWS, "tag").select("tag", "pos", "id"), """, l AS (SELECT tag, row_number() OVER (PARTITION BY tag ORDER BY coalesce(view_count, -1) DESC, id DESC) AS p, id, coalesce(view_count, -1) AS v FROM post_tags JOIN posts USING (id)),
+m AS (SELECT tag, CASE WHEN p % 1000 = 7 THEN p - 1 WHEN p % 1000 = 6 THEN p + 1 ELSE p END AS pos, id, v FROM l)
+SELECT tag, pos, id FROM (SELECT *, lag(v) OVER (PARTITION BY tag ORDER BY pos) AS before FROM m) WHERE v > before""")
     q = TagQuery("hot", Sort.SCORE, 250, 0, "red", "OR-NOT", EXCLUDED)
     register("order_violations", lambda e: validate.order_violations(boolean.run(e, q), q.sort).select("pos", "id"), "SELECT id AS pos, id FROM posts WHERE false")
-    register("list_violations", lambda e: validate.list_violations(e, Sort.SCORE).select("id", "tag"), "SELECT id, tag FROM post_tags WHERE false")
-    register("invalid_results", lambda e: validate.invalid_results(e, boolean.run(e, q), q).select("id"), "SELECT id FROM posts WHERE false")
+    register("list_violations", lambda e: validate.list_violations(spoilt(e), Sort.SCORE).select("id", "tag"), "SELECT id, tag FROM post_tags WHERE tag = 'hot' AND id % 101 = 1")
+    other = TagQuery("hot", Sort.SCORE, 250, 0, "small", "AND")
+    register("invalid_results", lambda e: validate.invalid_results(e, boolean.run(e, q), other).select("id"), f"SELECT id FROM ({page_sql(q.sort, members(q) + not_excluded(EXCLUDED), 0, 250)}) WHERE NOT ({members(other)})")
     unchecked = TagQuery("hot", Sort.SCORE, 250)
     register("excluded_leaks", lambda e: validate.leaks(e, paging.tag_page(e, unchecked), ("red", "small")).select("id", F.array_join("bad", ",").alias("bad")), f"SELECT p.id, string_agg(t.tag, ',' ORDER BY t.tag) AS bad FROM ({page_sql(Sort.SCORE, tag_in('hot'), 0, 250)}) p JOIN post_tags t ON p.id = t.id WHERE t.tag IN ('red', 'small') GROUP BY p.id")
     register("excl_soundness", lambda e: validate.exclusion_errors(e, EXCLUDED), "SELECT CAST(0 AS BIGINT) AS n_wrong, CAST(0 AS BIGINT) AS n_missed")
@@ -230,6 +303,6 @@ def _register_bitmaps_and_checks() -> None:
     register("api_tag", lambda e: api.Api(e).tag("red", {"type": "AnswerCount", "pageSize": "20", "skip": "-5"})["results"].select("pos", "id", "answer_count"), f"SELECT pos, id, answer_count FROM ({page_sql(Sort.ANSWERS, tag_in('red'), 0, 20)}) JOIN posts USING (id)")
 
 
-for _f in (_register_pages, _register_boolean, _register_exclusion, _register_wildcards, _register_stats, _register_bitmaps_and_checks):
+for _f in (_register_pages, _register_boolean, _register_grid, _register_exclusion, _register_wildcards, _register_stats, _register_bitmaps_and_checks):
     _f()
 

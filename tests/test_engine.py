@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import json
 import random
 
 import pytest
@@ -9,12 +10,13 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tagwright.api import Api
+from tagwright.api import Api, respond
 from tagwright.functions import columns as C
 from tagwright.functions import patterns as P
 from tagwright.operators import bitmaps, boolean, exclude, paging, sets, stats, validate, wildcard
 from tagwright.plans.engine import Engine
 from tagwright.plans.query import ALL, Sort, TagQuery
+from tagwright.plans.shared import shared_dir
 from tagwright.sources import tables
 
 DAY = datetime.datetime(2015, 1, 1)
@@ -130,10 +132,123 @@ def test_ranks_and_samples(spark):
     assert paging.sample(df.limit(3), [F.col("id")], 10).count() == 3 and paging.sample(df.limit(0), [F.col("id")], 2).count() == 0
 
 
-def test_bitmaps(edge):
+def test_bitmaps(spark, edge, tmp_path):
+    index = bitmaps.build(edge, Sort.SCORE).save(f"file://{tmp_path}/bitmaps")
+    assert bitmaps.mismatches(index.sizes, index.bits).count() == 0 and bitmaps.violations(edge, index, Sort.SCORE).count() == 0
+    assert tuple(bitmaps.pair_counts(index, "c#", "java").first()) == (1, 4, 6, 10)
+    for op, excluded, skip in itertools.product(("AND", "AND-NOT", "OR", "OR-NOT"), ((), ("php",), ("php", ".net")), (0, 2)):
+        q = TagQuery("c#", Sort.SCORE, 4, skip, "java", op, excluded)
+        assert ids(bitmaps.page(edge, index, q, Sort.SCORE)) == ids(boolean.run(edge, q)), q
+    assert bitmaps.union(index.bits, ("c#", "java")).agg(F.sum(F.bitmap_count("bits"))).first()[0] == 6
+
+
+def test_bitmaps_of_many_buckets(spark):
+    rows = spark.range(100_000).select("id", F.when(F.col("id") % 3 == 0, "<a>").when(F.col("id") % 3 == 1, "<a><b>").otherwise("<b>").alias("raw_tags"), (F.col("id") % 1000).cast("int").alias("score"))
+    engine = Engine.from_posts(rows.select("id", F.lit("t").alias("title"), "raw_tags", F.lit(DAY).alias("creation_date"), F.lit(DAY).alias("last_activity_date"), "score", "score", F.lit(1).alias("answer_count")).toDF("id", "title", "raw_tags", "creation_date", "last_activity_date", "score", "view_count", "answer_count"))
+    index = bitmaps.build(engine, Sort.SCORE)
+    assert index.bits.select("bucket").distinct().count() == 4
+    q = TagQuery("a", Sort.SCORE, 50, 30_000, "b", "AND-NOT")
+    assert ids(bitmaps.page(engine, index, q, Sort.SCORE)) == ids(boolean.run(engine, q))
+    assert {r.id for r in bitmaps.positions(index, TagQuery("a", Sort.SCORE, 1, 0, "b", "OR-NOT")).collect()} == {k for k in range(100_000) if k % 3 < 2}
+
+
+def test_damaged_bitmaps_are_refused(spark, edge, tmp_path):
     index = bitmaps.build(edge, Sort.SCORE)
-    assert bitmaps.mismatches(edge, index).count() == 0
-    assert tuple(bitmaps.pair_counts(edge, index, "c#", "java").first()) == (1, 4, 6, 10)
+    lost = bitmaps.populate(edge.post_tags.where("not (tag = 'c#' and id = 3)"), index.places)
+    with pytest.raises(ValueError, match="c# has 4 bits of 5"):
+        bitmaps.BitmapIndex(lost, index.places, index.sizes).save(f"file://{tmp_path}/lost")
+    got = {(r.tag, r.problem) for r in bitmaps.violations(edge, bitmaps.BitmapIndex(lost, index.places, index.sizes), Sort.SCORE).collect()}
+    assert got == {("c#", "unset"), ("c#", "count")}
+    swapped = index.places.withColumn("rank", F.when(F.col("rank") == 1, 11).when(F.col("rank") == 11, 1).otherwise(F.col("rank")))
+    assert "order" in {r.problem for r in bitmaps.violations(edge, bitmaps.BitmapIndex(bitmaps.populate(edge.post_tags, swapped), swapped, index.sizes), Sort.SCORE).collect()}
+
+
+def test_damaged_tables_are_refused(edge):
+    with pytest.raises(ValueError, match="posting lists"):
+        Engine(edge.posts, edge.post_tags.where("id <> 3"), edge.tag_counts).verify()
+    assert edge.verify() is edge
+
+
+def test_order_is_checked_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(validate, "STRETCH", 4)
+    rows = [(t, k, 100 - k) for t in "ab" for k in range(1, 20)] + [("c", k, 5 if k < 8 else 6 if k == 8 else 3) for k in range(1, 12)]
+    lists = spark.createDataFrame(rows, "tag string, pos long, sort_value long")
+    assert [(r.tag, r.pos) for r in validate.order_violations(lists, Sort.SCORE, "tag").collect()] == [("c", 8)]
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranks_of_whole_posts(spark, adaptive):
+    """Whole rows keep their ranks, whatever columns a plan asks for."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        posts = tables.order_posts(spark, "/root/testdata/sf0.1").cache()
+        total = posts.count()
+        wide = paging.ranked(posts, C.order(Sort.SCORE))
+        for names in (("id", "title", "raw_tags", "rank"), ("id", "title", "rank"), ("id", "rank")):
+            row = wide.select(*names).agg(F.count("*"), F.count_distinct("rank"), F.min("rank"), F.max("rank"), F.count_distinct("id")).first()
+            assert tuple(row) == (total, total, 1, total, total)
+        assert validate.order_violations(wide.select(F.col("rank").alias("pos"), C.sort_key(Sort.SCORE).alias("sort_value")), Sort.SCORE).count() == 0
+        some = paging.sample(posts, [F.col("id")], 1000)
+        assert some.count() == len(some.collect()) == 1000
+        posts.unpersist()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_long_lists_of_patterns(edge, monkeypatch):
+    patterns = ["*php*", "php*", "*php", "java", "j*a", "*", "c#", "*e*y*", "*ush*", "a*", "nosuch"]
+    want = {s: {(r.pattern, r.tag) for r in wildcard.matched(edge, patterns, s).collect()} for s in wildcard.STRATEGIES}
+    monkeypatch.setattr(wildcard, "CHUNK", 3)
+    for s in wildcard.STRATEGIES:
+        assert {(r.pattern, r.tag) for r in wildcard.matched(edge, patterns, s).collect()} == want[s], s
+    assert want["contains"] == want["trie"]
+    assert {(r.pattern, r.tag) for r in wildcard.matched_grams(edge, patterns).collect()} == {x for x in want["contains"] if x[0] != "*"}
+    assert {(r.pattern, r.strategies) for r in wildcard.disagreements(edge, ["j*a", "*c#*", "php*"]).collect()} == {("j*a", "like,regex"), ("*c#*", "contains,grams,regex,trie")}
+
+
+def test_pattern_coverage(edge):
+    assert tuple(exclude.pattern_coverage(edge, ("ja*", "php", "php", "nosuch")).first()) == (3, 1, 2, 11, 3, 8, 7)
+
+
+def test_walks_of_any_depth(spark, monkeypatch):
+    """A walk that widens its look, and one that ranks whole lists, give what the first look would."""
+    rng = random.Random(5)
+    rows = [(k, "".join(f"<{t}>" for t in "abcd" if rng.random() < 0.5), rng.randrange(9)) for k in range(80)]
+    engine = made(spark, rows)
+    queries = [TagQuery("a", Sort.SCORE, 6, skip, "b", op, ("c",), "interleave") for op in ("OR", "OR-NOT", "AND") for skip in (0, 12, 60)]
+    want = [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries]
+    monkeypatch.setattr(boolean, "_lengths", lambda e, q: iter([(2, False), (9, False), (len(rows), True)]))
+    assert [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries] == want
+    monkeypatch.setattr(boolean, "LONGEST", 4)
+    assert [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries[:4]] == want[:4]
+
+
+def test_sets(spark):
+    a, x = F.array(*map(F.lit, "aab")), F.lit("a")
+    row = spark.range(1).select(sets.add(a, F.lit("c")).alias("added"), sets.remove(a, x).alias("removed"), sets.contains(a, x).alias("has"), sets.clear(a).alias("none"), sets.remove_where(a, lambda c: c == "b").alias("where")).first()
+    assert (row.added, row.removed, row.has, row.none, row.where) == (["a", "b", "c"], ["b"], True, [], ["a"])
+
+
+def test_responses(edge):
+    api = Api(edge, ("php",))
+    got = json.loads(respond(api.tag("java", {"type": "Score"})))
+    assert [r["id"] for r in sorted(got["results"], key=lambda r: r["pos"])] == [10, 9] and got["statistics"]["total_questions_for_tag"] == 2
+    info = json.loads(respond(api.info()))
+    assert info["sample_urls"][0].startswith("/api/Tags/c%23?") and len(info["sample_urls"]) == 7 and isinstance(info["messages"], list)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://x:7077"
+            getConf = staticmethod(lambda: Session.conf)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session)
 
 
 def test_validators_find_what_is_wrong(edge):
