@@ -10,8 +10,8 @@ Which vectors meet: each has its nearest pivot as home. Two vectors at an angle
 homes that neither is farther from than from its own by more than 2a, so a vector visits the cells
 of all such pivots and no pair can be missed. The pivots are some of the vectors themselves; how
 many, is chosen by what the cells would cost, measured on the same sample. Cells are cut into
-tiles, and every two tiles meet in a task of their own, which returns counts and a spanning
-forest, never the pairs.
+tiles of TILE_BYTES, and every two tiles meet in a task of their own, which compares them block by block and
+returns counts and a spanning forest, never the pairs. The more vectors, the more pivots may be chosen.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components link with
 nothing; vectors of different lengths aren't compared; equal vectors are one node, so a hot
@@ -30,10 +30,12 @@ from tagwright.llm.storage import materialise
 from tagwright.llm.tiles import LINKS, tiled
 
 THRESHOLD = 0.95
-TILE = 1536
-#: Vectors that go to the driver as possible pivots and to measure what cells cost.
+#: Bytes of a tile's vectors, and rows of a block in it.
+TILE_BYTES = 4 << 20
+BLOCK = 1536
+#: Vectors that go to the driver to measure what cells cost, and possible pivots: so many times the root of the rows.
 SAMPLE = 4096
-PIVOTS = (1, 8, 32, 128, 512, 2048)
+PIVOTS_PER_ROOT = 0.5
 #: float32 holds sums of so many products of two int8 exactly.
 EXACT_DIMENSIONS = 1024
 
@@ -52,33 +54,55 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, left * (1 + 1e-9) + 1e-12
 
 
-def near_pairs(v: np.ndarray, w: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of rows of v and w (or of v alone) whose cosine reaches the threshold."""
-    a = unit(v)
-    b = a if w is None else unit(w)
-    qa, sa, ea = quantise(a)
-    qb, sb, eb = (qa, sa, ea) if w is None else quantise(b)
-    about = np.zeros((len(a), len(b)), np.float64)
-    for k in range(0, a.shape[1], EXACT_DIMENSIONS):
-        about += qa[:, k : k + EXACT_DIMENSIONS].astype(np.float32) @ qb[:, k : k + EXACT_DIMENSIONS].astype(np.float32).T
-    about *= sa[:, None]
-    about *= sb[None, :]
+class Quantised:
+    """Unit vectors and their int8 form."""
+
+    def __init__(self, v: np.ndarray):
+        self.u = unit(v)
+        q, self.scale, self.error = quantise(self.u)
+        self.q = q.astype(np.float32)
+
+    def part(self, lo: int, hi: int) -> Quantised:
+        out = object.__new__(Quantised)
+        out.u, out.q, out.scale, out.error = self.u[lo:hi], self.q[lo:hi], self.scale[lo:hi], self.error[lo:hi]
+        return out
+
+
+def _near(a: Quantised, b: Quantised, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of a and b whose cosine reaches the threshold."""
+    about = np.zeros((len(a.u), len(b.u)), np.float64)
+    for k in range(0, a.u.shape[1], EXACT_DIMENSIONS):
+        about += a.q[:, k : k + EXACT_DIMENSIONS] @ b.q[:, k : k + EXACT_DIMENSIONS].T
+    about *= a.scale[:, None]
+    about *= b.scale[None, :]
     # |x.y - x'.y'| <= |x - x'| |y| + |x'| |y - y'|, lengths of x' at most 1 + its error
-    bound = ea[:, None] + (1 + ea)[:, None] * eb[None, :] + 1e-9
+    bound = a.error[:, None] + (1 + a.error)[:, None] * b.error[None, :] + 1e-9
     about += bound
-    some = about >= threshold
-    if w is None:
-        some = np.triu(some, 1)
-    i, j = np.nonzero(some)
+    i, j = np.nonzero(about >= threshold)
     sure = about[i, j] - 2 * bound[i, j] >= threshold
     for lo in range(0, len(i), 1 << 16):
         x, y = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
         open_ = ~sure[lo : lo + (1 << 16)]
         x, y = x[open_], y[open_]
-        sure[lo + np.flatnonzero(open_)] = (a[x] * b[y]).sum(1) >= threshold - 1e-15
+        sure[lo + np.flatnonzero(open_)] = (a.u[x] * b.u[y]).sum(1) >= threshold
     return i[sure], j[sure]
 
 
+def near_pairs(v: np.ndarray, w: np.ndarray | None, threshold: float, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of rows of v and w (or of v alone) whose cosine reaches the threshold."""
+    a = Quantised(v)
+    b = a if w is None else Quantised(w)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for x in range(0, len(a.u), block):
+        for y in range(x if w is None else 0, len(b.u), block):
+            i, j = _near(a.part(x, x + block), b.part(y, y + block), threshold)
+            i, j = i + x, j + y
+            if w is None:
+                i, j = i[i < j], j[i < j]
+            found.append((i, j))
+    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -90,19 +114,20 @@ def _angles(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(u @ pivots.T, -1, 1))
 
 
-def choose_pivots(sample: np.ndarray, rows: int, threshold: float) -> np.ndarray:
-    """The first so many vectors of the sample with which comparing ``rows`` vectors costs least."""
-    u, wide, best = unit(sample), 2 * np.arccos(threshold), (np.inf, 1)
-    for k in PIVOTS:
-        if k > max(1, len(u) // 4):
-            break
-        angle = _angles(u, u[:k])
+def choose_pivots(sample: np.ndarray, rows: int, threshold: float, probes: int = SAMPLE) -> np.ndarray:
+    """The first so many vectors of the sample with which comparing ``rows`` vectors costs least, as its last ones tell."""
+    u, wide = unit(sample), 2 * np.arccos(threshold)
+    best, k = (np.inf, 1), 1
+    while k <= max(1, len(u) // 4):
+        some = u[-max(256, min(probes, (1 << 24) // k)) :]
+        angle = _angles(some, u[:k])
         home = angle.argmin(1)
         visits = (angle <= angle.min(1, keepdims=True) + wide + 1e-9) & (np.arange(k)[None, :] < home[:, None])
-        homes, guests = np.bincount(home, minlength=k) / len(u), visits.sum(0) / len(u)
+        homes, guests = np.bincount(home, minlength=k) / len(some), visits.sum(0) / len(some)
         pairs = float((homes * homes / 2 + homes * guests).sum()) * rows * rows
         cost = pairs + rows * (1 + guests.sum()) * 2000 + rows * k * 4
         best = min(best, (cost, k))
+        k *= 4
     return u[: best[1]]
 
 
@@ -116,8 +141,9 @@ def _cells(pivots: dict[int, np.ndarray], threshold: float):
             for d in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == d)
                 own = pivots.get(d, np.ones((1, d)))  # a rare length has one cell
-                for lo in range(0, len(at), 2048):
-                    rows = pa.array(at[lo : lo + 2048])
+                step = max(64, min(2048, (1 << 22) // len(own)))
+                for lo in range(0, len(at), step):
+                    rows = pa.array(at[lo : lo + step])
                     angle = _angles(unit(_matrix(batch.column("v").take(rows))), own)
                     home = angle.argmin(1)
                     guest = (angle <= angle.min(1, keepdims=True) + wide) & (np.arange(len(own))[None, :] < home[:, None])
@@ -146,7 +172,7 @@ def _linked(threshold: float):
     return run
 
 
-def near(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
+def near(vectors: DataFrame, threshold: float = THRESHOLD, tile_bytes: int = TILE_BYTES, sample: int = SAMPLE) -> DataFrame:
     """For each row of ``vectors(vec_id, embedding)``: vec_id, n_links, component_id and kept."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     big = F.array_max(F.transform("v", F.abs))  # a NaN is the largest of all
@@ -157,9 +183,10 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, sam
     counts = {r["dim"]: r["n"] for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(64).collect()}
     pivots = {}
     for dim, n in counts.items():
-        some = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(sample).select("v").collect()
-        pivots[dim] = choose_pivots(np.array([r["v"] for r in some]), n, threshold)
+        some = nodes.where(F.col("dim") == dim).orderBy(F.xxhash64("node", F.lit(1)), "node").limit(max(sample, int(4 * PIVOTS_PER_ROOT * n**0.5))).select("v").collect()
+        pivots[dim] = choose_pivots(np.array([r["v"] for r in some]), n, threshold, sample)
     placed = materialise(nodes.select("node", "dim", "v").mapInArrow(_cells(pivots, threshold), "node long, dim long, cell long, guest long"), "cells")
+    tile = F.greatest(F.lit(1), F.floor(F.lit(tile_bytes) / (8 * F.col("dim"))))
     size = placed.groupBy("dim", "cell").agg(*(F.greatest(F.lit(k), F.ceil(F.count(F.when(F.col("guest") == 1 - k, 1)) / tile)).cast("long").alias(name) for name, k in (("homes", 1), ("guests", 0))))
     sized = placed.join(materialise(size, "size"), ["dim", "cell"])
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.when(F.col("guest") == 1, F.col("guests")).otherwise(F.col("homes"))) + F.when(F.col("guest") == 1, F.col("homes")).otherwise(0)
