@@ -1,6 +1,8 @@
 """Mixture-controlled packing of documents into token sequences.
 
-Each source is a queue of its documents' tokens. Deficit round-robin serves the queues: a mixture
+Each source with a token a window or more, or with a weight, is a queue of its documents' tokens; rarer
+sources, which no window could hold in proportion, wait in queues that they share by hash. Deficit
+round-robin serves the queues: a mixture
 window takes from every queue its share of the window, and the fraction of a token by which a
 queue fell short is carried to its next windows. Served this way, what a queue has sent after
 ``j`` windows is ``floor(j * tokens / windows)``, so every document can work out where its tokens go
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections import defaultdict
+from operator import floordiv, mod
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +33,8 @@ from tagwright.llm.storage import materialise, release, small_batches
 
 LENGTH = 1024
 WINDOW = 64 * LENGTH
-#: A mixture has so many queues at most; with more sources than that, sources share queues by hash.
-MAX_QUEUES = 2048
+#: Queues that rare sources share.
+POOLS = 1024
 
 #: Distinct pieces of text whose ids a Python worker remembers.
 SLOTS = 1 << 18
@@ -65,24 +68,25 @@ class Schedule:
             left, done = [a - b for a, b in zip(left, take, strict=True)], [a + b for a, b in zip(done, take, strict=True)]
         self.starts = [p[0] for p in self.phases]
         self._upto = [[p[4][k] + p[2][k] for p in self.phases] for k in range(len(left))]
-        self._seen: dict[tuple[int, int], list[int]] = {}
+        kind = lambda windows: np.int64 if windows < 1 << 31 else object  # noqa: E731  (products of two numbers of windows)
+        self._shares = [tuple(np.array([f(n, p[3]) for n in p[2]], kind(p[3])) for f in (floordiv, mod)) for p in self.phases]
+        self._seen: dict[tuple[int, int], np.ndarray] = {}
 
-    def _layout(self, phase: int, j: int) -> list[int]:
+    def _layout(self, phase: int, j: int) -> np.ndarray:
         if len(self._seen) > 256:
             self._seen.clear()
         if (phase, j) not in self._seen:
             self._seen[phase, j] = self._laid(phase, j)
         return self._seen[phase, j]
 
-    def _laid(self, phase: int, j: int) -> list[int]:
+    def _laid(self, phase: int, j: int) -> np.ndarray:
         """Where each queue's part of window j starts."""
         at, _, take, windows, _ = self.phases[phase]
-        sent = [n * j // windows for n in take]
-        at, out = at + sum(sent), []
-        for n, before in zip(take, sent, strict=True):
-            out.append(at)
-            at += n * (j + 1) // windows - before
-        return out
+        whole, rest = self._shares[phase]
+        # n * j // windows without the long product: n = whole * windows + rest
+        before, after = whole * j + rest * j // windows, whole * (j + 1) + rest * (j + 1) // windows
+        size = after - before
+        return at + int(before.sum()) + np.cumsum(size) - size
 
     def cut(self, queue: str, a: int, b: int):
         """(position, from, to, window) of each stretch of the queue's tokens a to b."""
@@ -94,7 +98,7 @@ class Schedule:
             while i < stop:
                 j = ((i + 1) * windows - 1) // n
                 end = min(stop, n * (j + 1) // windows)
-                yield self._layout(phase, j)[k] + i - n * j // windows, i + done[k], end + done[k], first + j
+                yield int(self._layout(phase, j)[k]) + i - n * j // windows, i + done[k], end + done[k], first + j
                 i = end
             a = stop + done[k]
             phase += 1
@@ -104,7 +108,7 @@ def _tokenise(path: str):
     def run(batches):
         work, sent, pid = encoder(path, SLOTS), defaultdict(int), TaskContext.get().partitionId()
         for batch in batches:
-            column, queues = batch.column("text"), batch.column("source").to_pylist()
+            column, queues = batch.column("text"), batch.column("queue").to_pylist()
             for lo, hi in slices(buffers(column)[1], 1 << 19):
                 ids, counts = work.encode([t or "" for t in column.slice(lo, hi - lo).to_pylist()])
                 n = counts + 1
@@ -116,7 +120,7 @@ def _tokenise(path: str):
                     sent[q] += size
                 ends = np.concatenate([[0], np.cumsum(n)]) * 4
                 ids = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, pid, np.int64)), batch.column("doc_id").slice(lo, hi - lo), pa.array(queues[lo:hi], pa.string()), pa.array(n), pa.array(ats, pa.int64()), ids], ["pid", "doc_id", "source", "n", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, pid, np.int64)), batch.column("doc_id").slice(lo, hi - lo), batch.column("source").slice(lo, hi - lo), pa.array(queues[lo:hi], pa.string()), pa.array(n), pa.array(ats, pa.int64()), ids], ["pid", "doc_id", "source", "queue", "n", "at", "ids"])
             trim()
 
     return run
@@ -127,17 +131,17 @@ def _place(schedule: Schedule, length: int):
 
     def run(batches):
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("doc_id", "source", "n", "at", "base")]
+            cols = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "n", "at", "base")]
             for ids_lo in range(0, batch.num_rows, 256):
                 out: list[list] = [[] for _ in names]
                 blobs = batch.column("ids").slice(ids_lo, 256).to_pylist()
-                for doc, queue, n, at, base, ids in zip(*(c[ids_lo : ids_lo + 256] for c in cols), blobs, strict=True):
+                for doc, source, queue, n, at, base, ids in zip(*(c[ids_lo : ids_lo + 256] for c in cols), blobs, strict=True):
                     view, zero = memoryview(ids), base + at
                     for pos, a, b, window in schedule.cut(queue, zero, zero + n):
                         while a < b:
                             size = min(b - a, length - pos % length)
                             start = a - zero
-                            for x, v in zip(out, (doc, queue, start, size, n, pos // length, pos % length, window, view[4 * start : 4 * (start + size)]), strict=True):
+                            for x, v in zip(out, (doc, source, start, size, n, pos // length, pos % length, window, view[4 * start : 4 * (start + size)]), strict=True):
                                 x.append(v)
                             a, pos = a + size, pos + size
                 yield pa.RecordBatch.from_arrays([pa.array(x, {"source": pa.string(), "ids": pa.binary()}.get(c, pa.int64())) for c, x in zip(names, out, strict=True)], names)
@@ -145,7 +149,19 @@ def _place(schedule: Schedule, length: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, max_queues: int = MAX_QUEUES) -> DataFrame:
+def dealt(docs: DataFrame, weights: dict[str, float] | None, window: int, pools: int = POOLS) -> DataFrame:
+    """(doc_id, text, source, queue). A source has a queue of its own if it has a weight or a share of all text of one token a window or more; the others share queues."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col("source"), F.lit("")).alias("source"))
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size")
+    sizes = materialise(rows.groupBy("source").agg(size), "sources")
+    total = sizes.agg(F.sum("size")).first()[0] or 0
+    own = sizes.where((F.col("size") * window >= total) | F.col("source").isin(list(weights or {}))).select("source", F.concat(F.lit("s:"), "source").alias("queue"))
+    shared = F.concat(F.lit("pool:"), F.pmod(F.xxhash64("source"), F.lit(pools)).cast("string"))
+    # as many rows as a window has tokens, and the weights
+    return rows.join(F.broadcast(own), "source", "left").select("doc_id", "text", "source", F.coalesce("queue", shared).alias("queue"))
+
+
+def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = None, length: int = LENGTH, window: int = WINDOW, pools: int = POOLS) -> DataFrame:
     """Pack ``docs(doc_id, text, source)``; one row per piece of a document, with the piece's ids as little-endian 32-bit integers.
 
     weights: target proportions by source; without them each source's share of all tokens, so
@@ -154,21 +170,16 @@ def pack(docs: DataFrame, tokenizer: str, weights: dict[str, float] | None = Non
     broadcast only where its size on disk allows, each partition's start in its queues.
     """
     spark = docs.sparkSession
-    small_batches(spark)
-    source = F.coalesce(F.col("source"), F.lit(""))
-    many = docs.select(source.alias("s")).distinct().count() > max_queues
-    if many and weights:
-        raise ValueError(f"weights need at most {max_queues} sources")
-    queue = F.concat(F.lit("pool-"), F.pmod(F.xxhash64(source), F.lit(max_queues))) if many else source
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", queue.alias("source"))
-    tokens = materialise(rows.mapInArrow(_tokenise(tokenizer), "pid long, doc_id long, source string, n long, at long, ids binary"), "tokens", compression="zstd")
-    sizes = materialise(tokens.groupBy("source", "pid").agg(F.sum("n").alias("size")), "sizes")
-    totals = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("size").alias("n")).collect()}  # max_queues rows at most
-    before = Window.partitionBy("source").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    bases = materialise(sizes.select("source", "pid", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "bases")
+    rows = dealt(docs, weights, window, pools)
+    with small_batches(spark):
+        tokens = materialise(rows.mapInArrow(_tokenise(tokenizer), "pid long, doc_id long, source string, queue string, n long, at long, ids binary"), "tokens", compression="zstd")
+    sizes = materialise(tokens.groupBy("queue", "pid").agg(F.sum("n").alias("size")), "sizes")
+    totals = {r["queue"]: r["n"] for r in sizes.groupBy("queue").agg(F.sum("size").alias("n")).collect()}  # a window's tokens, weights and pools at most
+    before = Window.partitionBy("queue").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    bases = materialise(sizes.select("queue", "pid", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base")), "bases")
     release(sizes)
-    schedule = Schedule(totals, weights, window)
-    placed = tokens.join(bases, ["source", "pid"]).select("doc_id", "source", "n", "at", "base", "ids")
+    schedule = Schedule(totals, {f"s:{q}": w for q, w in (weights or {}).items()}, window)
+    placed = tokens.join(bases, ["queue", "pid"]).select("doc_id", "source", "queue", "n", "at", "base", "ids")
     return placed.mapInArrow(_place(schedule, length), PIECES) if totals else spark.createDataFrame([], PIECES)
 
 

@@ -1,26 +1,18 @@
 """Materialised intermediates in the folder that the whole cluster shares.
 
 Lineage is cut by writing Parquet below ``spark.checkpoint.dir``, so a lost executor never
-takes an intermediate with it. Only where that setting is unset (tests) a local folder is used.
+takes an intermediate with it. Only on a local master may that setting be unset.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found
-    if not _local:
-        _local.append("file://" + tempfile.mkdtemp(prefix="tagwright-"))
-    return _local[0]
+from tagwright.plans.shared import shared_dir
 
 
 def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -32,11 +24,17 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     return back
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Let no more than so many rows go to a Python worker at once, from now on in this session: rows here are whole documents, and the default of 10,000 holds tens of megabytes in each worker and beside it in the JVM."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 2000) -> Iterator[None]:
+    """Inside, no more than so many rows go to a Python worker at once: rows here are whole documents, and the default of 10,000 holds tens of megabytes in each worker and beside it in the JVM. The session's own setting comes back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
         spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def release(df: DataFrame) -> None:

@@ -51,11 +51,41 @@ def test_every_id_lies_in_one_piece(spark, library, weights):
     check(ROWS, pieces, library, 64)
 
 
-def test_many_sources_share_queues(spark, library):
-    rows = [(k, f"text {k}", f"s{k}") for k in range(40)]
-    pieces = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), tokenizer(), length=16, max_queues=8)
-    assert pieces.select("source").distinct().count() <= 8
+@pytest.mark.parametrize("weights", [None, {"s1": 2.0, "big": 1.0, "absent": 5.0}])
+def test_rare_sources_share_queues(spark, library, weights):
+    """Sources are told as they are; large ones keep their proportions whatever the number of others."""
+    rows = [(k, f"text {k}", f"s{k}") for k in range(300)] + [(1000 + k, "many words here " * 20, "big") for k in range(60)]
+    docs = spark.createDataFrame([(*r, "q") for r in rows], "doc_id long, text string, source string, queue string").repartition(3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pieces = packing.pack(docs, tokenizer(), weights, length=16, window=64, pools=8)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    told = {(r.doc_id, r.source) for r in pieces.select("doc_id", "source").collect()}
+    assert told == {(i, s) for i, _, s in rows}
     check(rows, packing.digest(pieces).collect(), library, 16)
+    if weights is None:
+        sizes = pieces.groupBy("window_id", "source").sum("length").collect()
+        all_, last = sum(r[2] for r in sizes), max(r[0] for r in sizes)
+        big = [r[2] for r in sizes if r[1] == "big"]
+        assert len(big) == last + 1 and max(big) - min(big) <= 1 and abs(sum(big) / all_ - sum(len(library.encode(t).ids) + 1 for _, t, s in rows if s == "big") / all_) < 1e-9
+
+
+def test_shares_of_long_corpora():
+    """Window starts are exact where products pass 64 bits."""
+    for scale in (10**10, 10**12):
+        check_shares({"a": 3000 * scale + 7, "b": 10 * scale + 1, "c": 5})
+
+
+def check_shares(totals):
+    schedule = packing.Schedule(totals, window=1 << 16)
+    windows = schedule.phases[0][3]
+    for j in (0, 1, windows // 3, windows - 1):
+        at, want = 0, []
+        for n in totals.values():
+            at += n * j // windows
+        for n in totals.values():
+            want.append(at)
+            at += n * (j + 1) // windows - n * j // windows
+        assert schedule._laid(0, j).tolist() == want
 
 
 def test_empty_table(spark):
