@@ -205,3 +205,16 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD, tile_bytes: int = TIL
     about = materialise(told.join(least, "component").select("node", "component_id", "n_links"), "about")
     out = signed.select("vec_id", "node").join(about, "node", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+
+
+#: The same rows by comparing all pairs.
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+     f AS (SELECT r, len(v) AS n, v FROM d WHERE len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+     p AS (SELECT a.r AS x, b.r AS y FROM f a JOIN f b ON a.n = b.n AND a.r < b.r WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+     e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+     reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+     least AS (SELECT x AS r, min(vec_id) AS component_id FROM reach JOIN d ON y = d.r GROUP BY x),
+     links AS (SELECT x AS r, count(*) AS k FROM e GROUP BY x)
+SELECT d.vec_id, coalesce(k, 0) AS n_links, component_id, d.vec_id = component_id AS kept FROM d JOIN least USING (r) LEFT JOIN links USING (r)
+"""

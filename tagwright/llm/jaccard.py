@@ -290,3 +290,18 @@ def representatives(docs: DataFrame, **options) -> DataFrame:
         return kept
     once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
     return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
+
+
+#: The same rows by comparing all pairs that share a shingle.
+SQL = r"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x09-\x0D\x20]+'), lambda x: x <> '') AS w FROM documents),
+     s AS (SELECT DISTINCT r, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0 AND doc_id IS NOT NULL)),
+     n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+     c AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY a.r, b.r),
+     p AS (SELECT x, y FROM c JOIN n nx ON x = nx.r JOIN n ny ON y = ny.r WHERE c >= 0.8 * (nx.n + ny.n - c) - 1e-9),
+     e AS (SELECT x, y FROM p UNION ALL SELECT y, x FROM p),
+     reach AS (SELECT r AS x, r AS y FROM d UNION SELECT reach.x, e.y FROM reach JOIN e ON reach.y = e.x),
+     least AS (SELECT x AS r, min(doc_id) AS class_id FROM reach JOIN d ON y = d.r GROUP BY x),
+     links AS (SELECT x AS r, count(*) AS k FROM e GROUP BY x)
+SELECT d.doc_id, class_id, coalesce(k, 0) AS n_links FROM d JOIN least USING (r) LEFT JOIN links USING (r)
+"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tagwright.llm import decontaminate
+from tagwright.llm import decontaminate, embeddings, jaccard
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,6 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tagwright.llm import jaccard
-
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
@@ -62,8 +60,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tagwright.llm import embeddings
-
     return embeddings.near(_table(spark, sf_dir, "embeddings"))
 
 
@@ -90,4 +86,4 @@ def op3_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_packing, op2_urls, op3_maxent, op4_decontaminate, op5_html, op6_embeddings, op7_language, op8_quality, op9_jaccard_join, op10_secrets)}
 
-SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL}
+SQL: dict[str, str] = {"op4_decontaminate": decontaminate.SQL, "op6_embeddings": embeddings.SQL, "op9_jaccard_join": jaccard.SQL}
