@@ -216,12 +216,12 @@ def test_walks_of_any_depth(spark, monkeypatch):
     rng = random.Random(5)
     rows = [(k, "".join(f"<{t}>" for t in "abcd" if rng.random() < 0.5), rng.randrange(9)) for k in range(80)]
     engine = made(spark, rows)
-    queries = [TagQuery("a", Sort.SCORE, 6, skip, "b", op, ("c",), "interleave") for op in ("OR", "OR-NOT", "AND") for skip in (0, 12, 60)]
+    queries = [TagQuery("a", Sort.SCORE, 6, skip, "b", op, ("c",), "interleave") for op, skip in (("OR", 12), ("OR-NOT", 0), ("OR-NOT", 60), ("AND", 12))]
     want = [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries]
     monkeypatch.setattr(boolean, "_lengths", lambda e, q: iter([(2, False), (9, False), (len(rows), True)]))
     assert [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries] == want
     monkeypatch.setattr(boolean, "LONGEST", 4)
-    assert [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries[:4]] == want[:4]
+    assert [(ids(boolean.run(engine, q)), tuple(boolean.counters(engine, q).first())) for q in queries[:2]] == want[:2]
 
 
 def test_sets(spark):
