@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of
 documents. run() writes each stage's result as Parquet in the shared folder and reads it
 again as the next one's documents. Rows with null texts or ids pass through every filter
-that can't judge them; an empty table gives an empty result.
+that can't judge them; of repeated rows one stays; other columns, whatever their names, go along to
+the last stage, which doesn't return them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
