@@ -168,3 +168,10 @@ def encoder(path: str, slots: int = 1 << 20) -> Encoder:
     if (path, slots) not in _encoders:
         _encoders[path, slots] = Encoder(path, slots)
     return _encoders[path, slots]
+
+
+def drop_encoders() -> None:
+    """Give back what encoders hold in this worker, for work that needs none."""
+    if _encoders:
+        _encoders.clear()
+        trim()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwright.llm.bpe import encoder, trim
+from tagwright.llm.bpe import drop_encoders, encoder, trim
 from tagwright.llm.kernels import buffers, slices
 from tagwright.llm.storage import materialise, release, small_batches
 
@@ -130,6 +130,7 @@ def _place(schedule: Schedule, length: int):
     names = [x.split()[0] for x in PIECES.split(", ")]
 
     def run(batches):
+        drop_encoders()
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "n", "at", "base")]
             for ids_lo in range(0, batch.num_rows, 256):
@@ -145,6 +146,7 @@ def _place(schedule: Schedule, length: int):
                                 x.append(v)
                             a, pos = a + size, pos + size
                 yield pa.RecordBatch.from_arrays([pa.array(x, {"source": pa.string(), "ids": pa.binary()}.get(c, pa.int64())) for c, x in zip(names, out, strict=True)], names)
+            trim()
 
     return run
 
