@@ -30,7 +30,6 @@ SHARPNESS = 20.0
 MAX_LANGUAGES = 4096
 
 _letter: dict[int, bool] = {}
-_MARKS = {0: " ", 1: " "}
 
 
 def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -48,28 +47,28 @@ def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_counts(texts: list[str], gram: int = GRAM, most: int = 1 << 62) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Row, n-gram number and count of each text's n-grams, and the n-grams' code points. Keys stay below ``most``."""
-    points, row = _symbols([t.translate(_MARKS) for t in texts])
+    """Row, n-gram number and count of each text's n-grams, and the n-grams' code points. Where plain keys would pass ``most``, those that there are get numbers."""
+    points, row = _symbols([t.replace("\x00", " ").replace("\x01", " ") for t in texts])
     alphabet, code = np.unique(points, return_inverse=True)
-    n = max(0, len(code) - gram + 1)
-    key, upto = code[:n].astype(np.int64), max(1, len(alphabet))
-    middle = points[:n] != 0
+    size, n = max(1, len(alphabet)), max(0, len(code) - gram + 1)
+    key, middle = code[:n].astype(np.int64), points[:n] != 0
+    few = size**gram * max(1, len(texts)) < most
     for k in range(1, gram):
-        if upto * len(alphabet) >= most:  # many kinds of letters: number the beginnings that there are
-            some, key = np.unique(key, return_inverse=True)
-            upto = len(some)
-        key, upto = key * len(alphabet) + code[k : k + n], upto * len(alphabet)
+        if not few:  # many kinds of letters: number the beginnings that there are
+            _, key = np.unique(key, return_inverse=True)
+        key = key * size + code[k : k + n]
         middle |= points[k : k + n] != 0
     at = np.flatnonzero((row[:n] == row[gram - 1 :][:n]) & middle)
-    if upto * max(1, len(texts)) >= most:
-        some, key[at] = np.unique(key[at], return_inverse=True)
-        upto = max(1, len(some))
-    # the first place of each pair tells its letters
-    pairs, first, counts = np.unique(row[at] * upto + key[at], return_index=True, return_counts=True)
-    grams, one, number = np.unique(pairs % upto, return_index=True, return_inverse=True)
-    place = at[first[one]]
-    letters = np.stack([points[place + k] for k in range(gram)], 1) if len(grams) else np.zeros((0, gram), np.uint32)
-    return pairs // upto, number, counts, letters
+    if few:
+        upto = size**gram
+        pairs, counts = np.unique(row[at] * upto + key[at], return_counts=True)
+        grams, number = np.unique(pairs % upto, return_inverse=True)
+        letters = np.stack([alphabet[grams // size ** (gram - 1 - k) % size] for k in range(gram)], 1) if len(grams) else np.zeros((0, gram), np.uint32)
+        return pairs // upto, number, counts, letters
+    grams, first, own = np.unique(key[at], return_index=True, return_inverse=True)
+    pairs, counts = np.unique(row[at] * max(1, len(grams)) + own, return_counts=True)
+    letters = np.stack([points[at[first] + k] for k in range(gram)], 1) if len(grams) else np.zeros((0, gram), np.uint32)
+    return pairs // max(1, len(grams)), pairs % max(1, len(grams)), counts, letters
 
 
 def vectors(letters: np.ndarray, dimensions: int = DIMENSIONS) -> np.ndarray:
