@@ -9,14 +9,12 @@ apart, go through the ``tokenizers`` library whole. The tests hold both ways aga
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import re
 import unicodedata
 
 import numpy as np
 
-from tagwright.llm.kernels import span_hashes
+from tagwright.llm.kernels import span_hashes, trim
 
 #: Unicode's White_Space characters.
 WHITE_SPACE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -154,12 +152,6 @@ class Encoder:
         return (np.concatenate(ids), np.concatenate(counts)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
-def trim() -> None:
-    """Give freed memory back to the system: a worker outlives its tasks and would hold it."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-
-
 _encoders: dict[tuple[str, int], Encoder] = {}
 
 

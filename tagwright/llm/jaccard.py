@@ -32,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagwright.llm.components import components
-from tagwright.llm.kernels import buffers, mix, shingles, slices, tokens
-from tagwright.llm.storage import materialise, release
+from tagwright.llm.kernels import buffers, mix, shingles, slices, tokens, trim
+from tagwright.llm.storage import materialise, release, small_batches
 from tagwright.llm.tiles import LINKS, tiled
 
 WORDS = 5
@@ -163,6 +163,7 @@ def _sign(trees: int, depth: int, words: int, probes: Probes, threshold: float):
                 empty = pa.array(n == 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * trees), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pc.if_else(empty, None, pa.array(node)), pa.array(n), lists, pa.array(matched, pa.list_(pa.int32()))], ["doc_id", "node", "n", "keys", "matched"])
+            trim()
 
     return run
 
@@ -176,6 +177,7 @@ def _sets(words: int):
                     n = np.fromiter(map(len, sets), np.int64, len(sets))
                     node = _node(np.concatenate(sets), np.cumsum(n) - n)
                     yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+            trim()
 
     return run
 
@@ -233,7 +235,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
     likely = rows.where((F.pmod(F.xxhash64("doc_id", F.lit(9)), every) == 0) & F.col("doc_id").isNotNull() & F.length("text").between(1, 100_000))
     known = probes_of([r["text"] for r in likely.select("text").limit(probes).collect()], trees, depth, words)
     signed = rows.mapInArrow(_sign(trees, depth, words, known, threshold), "doc_id long, node long, n long, keys array<long>, matched array<int>")
-    signed = materialise(signed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signed")
+    with small_batches(docs.sparkSession):
+        signed = materialise(signed.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node"))), "signed")
     matched = {r["d"]: r["n"] for r in signed.select(F.explode("matched").alias("d")).groupBy("d").agg(F.count("*").alias("n")).collect()}  # depth + 1 rows
     cut = BITS * (depth - shorten(matched, threshold, trees, depth, recall))
     nodes = materialise(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"), F.first("keys").alias("keys")), "nodes")
@@ -261,12 +264,14 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, tree
         .select("node", "weight", "tree", (F.col("own") > F.col("with")).cast("int").alias("side"), F.xxhash64("g", "tree", F.least("own", "with"), F.greatest("own", "with")).alias("gid"))
     )
     wanted = placed.select(F.col("rep").alias("doc_id")).distinct()
-    sets = materialise(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "sets")
+    with small_batches(docs.sparkSession):
+        sets = materialise(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_sets(words), "node long, shingles binary"), "sets")
     if not sets.groupBy("node").count().where("count > 1").isEmpty():  # rows that share a representative's doc_id
         sets = materialise(sets.dropDuplicates(["node"]), "sets")
     laid = pairs.join(sets, "node").join(nodes.select("node", "keys"), "node")
     found = laid.repartition("gid").sortWithinPartitions("gid").mapInArrow(tiled(_linked(threshold, cut)), LINKS)
-    found = materialise(found, "links")
+    with small_batches(docs.sparkSession):
+        found = materialise(found, "links")
     for t in (buckets, members, sets):
         release(t)
 

@@ -6,6 +6,8 @@ buffer gives the hash of every token in it, whatever its length.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -112,3 +114,9 @@ def shingles(words: np.ndarray, rows: np.ndarray, n_rows: int, width: int = 5) -
     of = np.concatenate([rows[keep], short])
     order = np.argsort(of, kind="stable") if len(short) else slice(None)
     return span_hashes(words, starts[order], stops[order]), of[order]
+
+
+def trim() -> None:
+    """Give freed memory back to the system: a worker outlives its tasks and would hold it."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -27,8 +27,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagwright.llm.bpe import drop_encoders, encoder, trim
-from tagwright.llm.kernels import buffers, slices
+from tagwright.llm.bpe import drop_encoders, encoder
+from tagwright.llm.kernels import buffers, slices, trim
 from tagwright.llm.storage import materialise, release, small_batches
 
 LENGTH = 1024

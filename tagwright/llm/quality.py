@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tagwright.llm.kernels import buffers
+from tagwright.llm.kernels import buffers, trim
 from tagwright.llm.storage import materialise
 
 #: The fit is on a sample: so many labelled documents of each class for the dictionaries, and
@@ -149,6 +149,7 @@ def score(docs: DataFrame, model: Model, column: str = "quality_score") -> DataF
         scores = _scorer(model)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores(batch.column("text")))], [*batch.schema.names, column])
+            trim()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, "double"))
 
@@ -161,5 +162,6 @@ def keep(docs: DataFrame, model: Model, least: float) -> DataFrame:
         for batch in batches:
             text = batch.column("text")
             yield batch.filter(pa.array((scores(text) >= least) | text.is_null().to_numpy(zero_copy_only=False)))
+            trim()
 
     return docs.mapInArrow(run, docs.schema)

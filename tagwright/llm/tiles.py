@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 
+from tagwright.llm.kernels import trim
+
 LINKS = "node long, other long, links long"
 
 
@@ -92,5 +94,6 @@ def tiled(pairs_of: Callable[[pa.Table, np.ndarray], tuple[np.ndarray, np.ndarra
                     yield told(node, group.column("weight").to_numpy(), i, j)
 
         yield from batched(rows())
+        trim()
 
     return run
