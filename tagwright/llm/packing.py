@@ -127,25 +127,30 @@ def _tokenise(path: str):
 
 
 def _place(schedule: Schedule, length: int):
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    names = [x.split()[0] for x in PIECES.split(", ")][:-1]  # the ids come last
 
     def run(batches):
         drop_encoders()
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "n", "at", "base")]
-            for ids_lo in range(0, batch.num_rows, 256):
+            data, ends = buffers(batch.column("ids"))
+            for lo in range(0, batch.num_rows, 256):
                 out: list[list] = [[] for _ in names]
-                blobs = batch.column("ids").slice(ids_lo, 256).to_pylist()
-                for doc, source, queue, n, at, base, ids in zip(*(c[ids_lo : ids_lo + 256] for c in cols), blobs, strict=True):
-                    view, zero = memoryview(ids), base + at
+                for doc, source, queue, n, at, base in zip(*(c[lo : lo + 256] for c in cols), strict=True):
+                    zero = base + at
                     for pos, a, b, window in schedule.cut(queue, zero, zero + n):
                         while a < b:
                             size = min(b - a, length - pos % length)
-                            start = a - zero
-                            for x, v in zip(out, (doc, source, start, size, n, pos // length, pos % length, window, view[4 * start : 4 * (start + size)]), strict=True):
+                            for x, v in zip(out, (doc, source, a - zero, size, n, pos // length, pos % length, window), strict=True):
                                 x.append(v)
                             a, pos = a + size, pos + size
-                yield pa.RecordBatch.from_arrays([pa.array(x, {"source": pa.string(), "ids": pa.binary()}.get(c, pa.int64())) for c, x in zip(names, out, strict=True)], names)
+                # a document's pieces come in order and without gaps, so their ids are the batch's own bytes with new offsets
+                # (no views of Python objects: pa.array keeps what a memoryview shows for as long as the worker lives)
+                bounds = np.concatenate([[0], np.cumsum(out[names.index("length")])]).astype(np.int64) * 4
+                held = pa.py_buffer(data[ends[lo] : ends[min(lo + 256, batch.num_rows)]])
+                ids = pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), held]).cast(pa.binary())
+                told = [pa.array(x, pa.string() if c == "source" else pa.int64()) for c, x in zip(names, out, strict=True)]
+                yield pa.RecordBatch.from_arrays([*told, ids], [*names, "ids"])
             trim()
 
     return run

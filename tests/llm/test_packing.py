@@ -1,6 +1,9 @@
+import gc
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tagwright.llm import packing
@@ -118,6 +121,35 @@ def test_sequences_put_the_ids_together(spark, library):
     assert ids == library.encode("one two three").ids + [0] + library.encode("four").ids + [0]
 
 
+def test_placing_holds_no_ids():
+    """A worker that has placed documents has nothing of them left, and each piece has its own ids."""
+    rng = np.random.default_rng(5)
+    n = rng.integers(1, 4000, 1200)
+    queues = ["a" if k % 3 else "b" for k in range(len(n))]
+    ats, sent = [], {"a": 0, "b": 0}
+    for q, size in zip(queues, n.tolist(), strict=True):
+        ats.append(sent[q])
+        sent[q] += size
+    docs = [rng.integers(1, 50_000, size, np.int32).tobytes() for size in n.tolist()]
+    cols = {"doc_id": range(len(n)), "source": queues, "queue": queues, "n": n, "at": ats, "base": [0] * len(n), "ids": pa.array(docs, pa.binary())}
+    whole = pa.RecordBatch.from_pydict({c: pa.array(x) for c, x in cols.items()})
+    run = packing._place(packing.Schedule(sent, window=1 << 14), 1024)
+    parts = [whole.slice(0, 700), whole.slice(700)]  # of a longer buffer too
+    got = [b""] * len(n)
+    for p in (p for out in run(iter(parts)) for p in out.to_pylist()):
+        assert len(p["ids"]) == 4 * p["length"] and len(got[p["doc_id"]]) == 4 * p["start"] and p["doc_tokens"] == n[p["doc_id"]]
+        got[p["doc_id"]] += p["ids"]
+    assert got == docs
+    tracemalloc.start()
+    try:
+        for _ in run(iter(parts)):
+            pass
+        gc.collect()
+        assert tracemalloc.get_traced_memory()[0] < sum(map(len, docs)) / 10
+    finally:
+        tracemalloc.stop()
+
+
 def test_ids_equal_the_library(library):
     rng = np.random.default_rng(3)
     letters = list("ab 1.\n\t '’st  É \x1c  漢é ")
